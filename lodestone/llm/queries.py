@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import dedup, mixing, packing
+from lodestone.llm import dedup, mixing, neardup, packing
 from lodestone.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by a Jaccard similarity of 0.8 or more of their word 5-grams, in classes."""
+    return neardup.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with equal texts, white space aside."""
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -29,6 +34,7 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str, tokenizer: str = "word_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op9_pack_sequences": op9_pack_sequences,
 }
