@@ -80,11 +80,10 @@ def chunks(column: pa.Array, lower: bool = True) -> Iterator[Words]:
     at, last = int(offsets[0]), int(offsets[-1])
     while at < last:
         stop = min(last, at + CHUNK)
-        if stop < last:  # cut where a text ends or after a byte outside words; only a word longer than a run is cut itself
-            outside = np.flatnonzero(~WORD_BYTES[data[at:stop]])
+        if stop < last:  # cut where a text ends; a text longer than a run after a byte outside words, if it has any
             edge = int(offsets[np.searchsorted(offsets, stop, "right") - 1])
-            best = max(edge, at + int(outside[-1]) + 1 if len(outside) else 0)
-            stop = best if best > at else stop
+            outside = np.flatnonzero(~WORD_BYTES[data[at:stop]]) if edge <= at else []
+            stop = edge if edge > at else at + int(outside[-1]) + 1 if len(outside) else stop
         part = data[at:stop]
         inside = WORD_BYTES[part]
         first = np.searchsorted(offsets, at, "right") - 1
