@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import dedup, mixing, neardup, packing, toxicity
+from lodestone.llm import dedup, langid, licenses, mixing, neardup, packing, pii, toxicity
 from lodestone.llm.common import remainder, table
+from lodestone.llm.licence_texts import LICENCES, NOTICES
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs, remainder(F.col("doc_id"), 3) != 1)
+    return langid.predict_language(docs, model).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document is, and the notices that it holds."""
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Learns from the labelled documents that aren't held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -45,15 +58,25 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str, tokenizer: str = "word_
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses replaced by keyed pseudonyms."""
+    secret = spark.conf.get("spark.lodestone.pseudonym.key", "lodestone example key")
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), secret.encode())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_pack_sequences": op9_pack_sequences,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_exact_dedup": dedup.ORACLE,
+    "op7_license_scan": licenses.oracle(list((LICENCES | NOTICES).items())),
 }
