@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import dedup, langid, licenses, mixing, neardup, packing, pii, toxicity
+from lodestone.llm import ann, dedup, langid, licenses, mixing, neardup, packing, pii, toxicity
 from lodestone.llm.common import remainder, table
 from lodestone.llm.licence_texts import LICENCES, NOTICES
 
@@ -27,6 +27,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
