@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import textvec
 from lodestone.llm.common import cut
 from lodestone.llm.graph import components
+from lodestone.llm.streams import groups
 
 #: Sampled tokens of a set (min-wise hashes), and how many of them can be a run's first.
 SKETCH = 64
@@ -122,24 +123,6 @@ def _blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
     return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "n")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, int, int]]:
-    """(batch, from, to) of each group in a stream that is sorted by the keys; only an open group is carried on."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        edges = [0, *new.tolist()]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            yield batch, lo, hi
-        held = batch.slice(edges[-1])
-    if held is not None:
-        yield held, 0, held.num_rows
-
-
 def _forest(node: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
     """Each node of the linked pairs (by place) with the smallest node of its component here."""
     parent = np.arange(len(node))
@@ -167,7 +150,7 @@ def candidate_edges(leaves: DataFrame, nodes: DataFrame, threshold: float) -> Da
         a: list[int] = []
         b: list[int] = []
         seen, sketch, ids, block = None, None, None, None
-        for batch, lo, hi in _groups(batches, ["path", "low", "high"]):
+        for batch, lo, hi in groups(batches, ["path", "low", "high"]):
             if batch is not seen:
                 seen = batch
                 sketch = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
@@ -210,7 +193,7 @@ def verified_links(clusters: DataFrame, docs: DataFrame, threshold: float, words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
-        for batch, lo, hi in _groups(batches, ["cluster", "low", "high"]):
+        for batch, lo, hi in groups(batches, ["cluster", "low", "high"]):
             part = batch.slice(lo, hi - lo)
             node, side = part.column("node").to_numpy(), part.column("block").to_numpy()
             own = [np.frombuffer(s, np.uint64) for s in part.column("set").to_pylist()]
