@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, dedup, langid, licenses, mixing, neardup, packing, pii, toxicity
+from lodestone.llm import ann, dedup, html, langid, licenses, mixing, neardup, packing, pii, toxicity
 from lodestone.llm.common import remainder, table
 from lodestone.llm.licence_texts import LICENCES, NOTICES
 
@@ -33,6 +33,11 @@ def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_nearest_vectors": op4_nearest_vectors,
+    "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
