@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ids that a worker keeps by word; the older half goes when it is full.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps; the older half goes when it is full.
+CACHED_WORDS = 800_000
 #: Pieces of about so many documents are packed by one task.
 DOCS_PER_TASK = 100_000
 #: Sequences that a task holds open.
@@ -19,11 +19,33 @@ OPEN_BINS = 1024
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+class Generations:
+    """A bounded dictionary of bytes: when the young half is full it becomes the old half, and what is asked for returns."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys that have no value yet; the others are in ``young`` afterwards, as are new ones put there."""
+        if len(self.young) + len(keys) > self.half:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for key in keys.difference(young):
+            value = old.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                young[key] = value
+        return new
+
+
 class WordTokenizer:
-    """Little-endian 32-bit ids of a text, by way of a bounded cache of its words.
+    """Little-endian 32-bit ids of texts, by way of bounded caches of their words.
 
-    It holds for tokenizers whose pre-tokenizer never crosses ASCII white space, and whose normaliser drops it: the ids
-    of a text are then those of its words, one after the other.  Only words that aren't in the cache reach the library.
+    It holds for tokenizers whose pre-tokenizer never crosses ASCII white space, which their normaliser drops: the ids
+    of a text are then those of its words, one after the other.  Words of letters, perhaps with one mark after them,
+    reach the library in lower case, many in a call, as each is one pre-token, whose last token alone ends a word; other
+    words reach it one by one.
     """
 
     def __init__(self, path: str):
@@ -34,39 +56,70 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        young, old = self.young, self.old
-        if len(young) > CACHED_WORDS // 2:
-            self.old = old = young
-            self.young = young = {}
-        new = []
-        for word in set(words).difference(young):
-            ids = old.get(word)
-            if ids is None:
-                new.append(word)
+        vocabulary = self.inner.get_vocab()
+        self.packed = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
+        self.ends = {i for token, i in vocabulary.items() if token.endswith("</w>")}
+        self.words, self.stems = Generations(CACHED_WORDS), Generations(CACHED_WORDS)
+        self.marks = {m: self._one(m) for m in ("", ".", ",", "!", "?", ";", ":")}
+
+    def _one(self, text: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.inner.encode(text, add_special_tokens=False).ids])
+
+    def _learn_stems(self, stems: set[str]) -> None:
+        new, young, packed, ends = self.stems.unknown(stems), self.stems.young, self.packed, self.ends
+        groups = [new[lo : lo + 64] for lo in range(0, len(new), 64)]
+        for group, got in zip(groups, self.inner.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            found, lo = [], 0
+            for hi, i in enumerate(ids := got.ids, 1):
+                if i in ends:
+                    found.append(b"".join([packed[k] for k in ids[lo:hi]]))
+                    lo = hi
+            if len(found) != len(group):
+                found = [self._one(stem) for stem in group]
+            young.update(zip(group, found, strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        new, young = self.words.unknown(words), self.words.young
+        plain, other = [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            stem, mark = (text[:-1], text[-1]) if text[-1] in ".,!?;:" else (text, "")
+            if stem.isalpha() and "Σ" not in stem:
+                plain.append((word, stem.lower(), mark))
             else:
-                young[word] = ids
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for word, got in zip(part, self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                young[word] = b"".join([i.to_bytes(4, "little") for i in got.ids])
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()  # bytes split at ASCII white space only
-        if len(words) <= CACHED_WORDS // 4:
-            return self._encode(words)
-        step = CACHED_WORDS // 4
-        return b"".join(self._encode(words[lo : lo + step]) for lo in range(0, len(words), step))
-
-    def _encode(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.young.__getitem__, words))
+                other.append((word, text))
+        self._learn_stems({stem for _, stem, _ in plain})
+        stems, marks = self.stems.young, self.marks
+        for word, stem, mark in plain:
+            young[word] = stems[stem] + marks[mark]
+        for word, text in other:
+            young[word] = self._one(text)
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; texts are looked at about CACHED_WORDS / 8 words at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, list[bytes]]] = []
+        held = 0
+        for n, text in enumerate(texts):
+            words = text.split()  # bytes split at ASCII white space only
+            for lo in range(0, len(words), CACHED_WORDS // 8):
+                part = words[lo : lo + CACHED_WORDS // 8]
+                if held + len(part) > CACHED_WORDS // 8:
+                    self._finish(group, out)
+                    group, held = [], 0
+                group.append((n, part))
+                held += len(part)
+        self._finish(group, out)
+        return [b"".join(parts) for parts in out]
+
+    def _finish(self, group: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        need: set[bytes] = set()
+        for _, words in group:
+            need.update(words)
+        self._learn(need)
+        get = self.words.young.__getitem__
+        for n, words in group:
+            out[n].append(b"".join(map(get, words)))
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -85,8 +138,9 @@ def token_pieces(docs: DataFrame, path: str, length: int = 2048, end: int = 0, k
         words = tokenizer(path)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for key_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = words.encode(text_ or b"") + tail
+            texts = [text_ or b"" for text_ in batch.column(1).cast(pa.binary()).to_pylist()]
+            for key_, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts), strict=True):
+                ids += tail
                 for n, lo in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[lo : lo + 4 * length]
                     for column, value in zip(out, (key_, n, lo // 4, len(part) // 4, zlib.crc32(part)), strict=True):
