@@ -1,10 +1,61 @@
-"""A corpus pipeline: documents in, packed sequences out."""
+"""A corpus pipeline: documents in, packed sequences of a clean, unrepeated and weighted mix out."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import dedup, mixing, neardup, packing, toxicity
+from lodestone.llm.common import remainder, stored, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores under 0.5; it learns from the labelled ones that aren't held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, labels, remainder(F.col("doc_id"), 5) != 0))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, white space aside."""
+    return dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of documents linked by a similarity of 0.8 or more."""
+    return neardup.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources take them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: Model scores, the join and packing have no SQL form; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES):
+            docs = stored(docs)
+    return docs

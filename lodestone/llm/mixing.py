@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import WORD, cut, small
@@ -31,21 +31,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return ranked.select("source", "source_size", F.coalesce(F.least(F.col("level") * F.col("weight"), F.col("most")), F.col("most")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+def _row_hash(key: str, text: str) -> Column:
+    """HASH_BITS bits of the key, or of the text where the key is null."""
+    row_key = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text), F.lit(""))))
+    return F.conv(F.substring(F.md5(row_key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
-    A source whose target is r whole passes and a rest takes each document r times, and once more each document whose
-    hash lies under the source's threshold.  The threshold is found without sorting: words are summed by source and
-    hash bucket, the bucket that crosses the rest is split into finer buckets, and so on until it holds one hash value;
-    that value is taken or left, whichever comes nearer.  Each level reads only its boundary buckets' rows.
 
-    Size: runs of characters other than white space; null text: 0.  The hash is of the key, or of the text where the
-    key is null; rows with equal hashes stand or fall together.  A source without words has target 0.
-    """
-    row_key = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text), F.lit(""))))
-    hashed = F.conv(F.substring(F.md5(row_key), 1, HASH_BITS // 4), 16, 10).cast("long")
-    light = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("hash")))
+def _thresholds(light: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, int]:
+    """One row per source: s, source_size, target, passes, edge, edge_in; and the number of sources.
 
+    Words are summed by source and hash bucket; the bucket that crosses what passes leave of the target is split into
+    finer buckets, and so on until it holds one hash value.  That value is taken or left, whichever comes nearer.
+    """
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = source_targets(sizes, weights, share, cap).withColumn("passes", passes.cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -73,12 +70,47 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
             F.when(one, F.col("words")).otherwise(F.col("edge_size")).alias("edge_size"),
         ))
     nearer = F.col("under") + F.col("edge_size") - F.col("rest") < F.col("rest") - F.col("under")
-    limits = state.select(F.col("source").alias("s"), "source_size", "target", "passes", "edge", nearer.alias("edge_in"))
+    return state.select(F.col("source").alias("s"), "source_size", "target", "passes", "edge", nearer.alias("edge_in")), sources
+
+
+def _copies() -> Column:
     more = (F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("edge_in"))
-    taken = light.join(small(limits, sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.col("passes") + F.coalesce(more, F.lit(False)).cast("long"))
+    return F.col("passes") + F.coalesce(more, F.lit(False)).cast("long")
+
+
+def _light(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _row_hash(key, text).alias("hash")))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+
+    A source whose target is r whole passes and a rest takes each document r times, and once more each document whose
+    hash lies under the source's threshold; no row is sorted.  Each level of the search reads only the rows of the
+    boundary buckets, from a narrow table of ids, sizes and hashes.
+
+    Size: runs of characters other than white space; null text: 0.  The hash is of the key, or of the text where the
+    key is null; rows with equal hashes stand or fall together.  A source without words has target 0.
+    """
+    light = _light(docs, key, source, text)
+    limits, sources = _thresholds(light, weights, share, cap)
+    taken = light.join(small(limits, sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns; texts aren't shuffled where the
+    thresholds are few enough to broadcast."""
+    limits, sources = _thresholds(_light(docs, key, source, text), weights, share, cap)
+    limits = limits.select(F.struct("passes", "edge", "edge_in").alias("mix_limit"), F.col("s").alias("mix_source"))
+    columns = [docs[c] for c in docs.columns]
+    rows = docs.join(small(limits, sources), docs[source].eqNullSafe(limits["mix_source"]))
+    more = (_row_hash(key, text) < F.col("mix_limit.edge")) | ((_row_hash(key, text) == F.col("mix_limit.edge")) & F.col("mix_limit.edge_in"))
+    copies = F.col("mix_limit.passes") + F.coalesce(more, F.lit(False)).cast("long")
+    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*columns)
+
+
 ORACLE = r"""
 WITH b AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -274,3 +274,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, rec
     rows = members.join(classes, "rep_id", "left")
     rep = F.coalesce("rep_id", "node")
     return rows.select(F.col("node").alias("doc_id"), F.coalesce("linked", rep).alias("class_id"), rep.alias("rep_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one document of each class: that of the smallest doc_id.
+
+    Rows with a null key stay, as do all rows that share the kept key.
+    """
+    classes = jaccard_classes(docs, threshold, words, key=key, text=text)
+    dropped = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("dropped_id"))
+    return docs.join(dropped, docs[key] == dropped["dropped_id"], "left_anti")
