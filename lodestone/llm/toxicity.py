@@ -20,9 +20,9 @@ FEATURES = 4096
 LEAST = 3.0
 #: A word's features: itself, and its first characters (bytes), which stand for inflected forms.
 PREFIXES = (4, 5, 6)
-#: The fit takes about so many labelled rows of a class, of texts up to so many characters.
-SAMPLE_ROWS = 12_000
-SAMPLE_CHARS = 50_000
+#: The fit takes about so many labelled rows of class 0 and of class 1, of texts up to so many characters.
+SAMPLE_ROWS = (9_000, 3_000)
+SAMPLE_CHARS = 20_000
 
 #: Terms for groups of people, swapped within a set.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -61,16 +61,16 @@ def _terms(groups: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
     return own.hashes[order], _features(swapped)[order]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """(label, text) of about SAMPLE_ROWS labelled rows of each class, by a hash threshold of their key."""
+def _sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[DataFrame, dict[int, int]]:
+    """(label, text) of about SAMPLE_ROWS labelled rows, by a hash threshold of their key; and all rows by label."""
     rows = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     take = F.lit(False)
     for label, n in counts.items():
-        share = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))
+        share = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS[label] / n) * (1 << 30))
         take = take | ((F.col("label") == label) & share)
-    texts = docs.where(F.length("text") <= SAMPLE_CHARS)
-    return texts.join(rows.where(take), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
+    texts = docs.where(F.length("text") <= SAMPLE_CHARS)  # the other side has about sum(SAMPLE_ROWS) pairs of numbers
+    return texts.join(F.broadcast(rows.where(take)), "doc_id").select(F.col("label").cast("int").alias("label"), "text"), counts
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, identity: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 1.0) -> ToxicityModel:
@@ -84,14 +84,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
 
     Without labels of both classes the model gives the share of label 1, 0.5 without any.
     """
-    rows = cut(_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, F.lit(True) if learn is None else learn))
+    rows, every = _sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, F.lit(True) if learn is None else learn)
+    rows = cut(rows)
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         share = 0.5 if not counts else float(next(iter(counts)))
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log((share + 0.02) / (1.02 - share))))
     kept = _select(rows, counts)
     texts, swaps = _examples(rows, kept, identity)
-    weights, bias = _fit(len(kept), texts, counts, swaps, penalty)
+    weights, bias = _fit(len(kept), texts, counts, every, swaps, penalty)
     table = np.zeros(1 << BITS, np.float32)
     table[kept] = weights
     return ToxicityModel(table, bias)
@@ -147,11 +148,12 @@ def _examples(rows: DataFrame, kept: np.ndarray, identity: Sequence[Sequence[str
 
     found = rows.mapInArrow(sentences, "label int, text long, own binary, other binary").withColumn("task", F.spark_partition_id())
     texts, swaps = {}, []
-    for r in found.distinct().orderBy("task", "text", "own", "other").collect():
-        own = np.frombuffer(r["own"], np.int32)
-        if r["other"] is not None and r["other"] != r["own"]:
-            swaps.append((own, np.frombuffer(r["other"], np.int32)))
-        texts.setdefault((r["task"], r["text"]), (r["label"], []))[1].append(own)
+    for part in found.distinct().orderBy("task", "text", "own", "other").toArrow().to_batches():
+        for task, text, label, own, other in zip(*(part.column(c).to_pylist() for c in ("task", "text", "label", "own", "other")), strict=True):
+            mine = np.frombuffer(own, np.int32)
+            if other is not None and other != own:
+                swaps.append((mine, np.frombuffer(other, np.int32)))
+            texts.setdefault((task, text), (label, []))[1].append(mine)
     return list(texts.values()), swaps
 
 
@@ -159,22 +161,27 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, np.int32)
 
 
-def _fit(size: int, texts: list[tuple[int, list]], counts: dict[int, int], swaps: list, penalty: float, steps: int = 600, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression over texts by Adam; texts without kept features count through the bias."""
+def _fit(size: int, texts: list[tuple[int, list]], counts: dict[int, int], every: dict[int, int], swaps: list, penalty: float, steps: int = 600, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression over texts by Adam; texts without kept features count through the bias.
+
+    Each sampled text stands for as many labelled ones as its class has for each sampled one.
+    """
     label = np.array([y for y, _ in texts], float)
     row, column = _flat([s for _, t in texts for s in t])
     starts = np.cumsum([0, *[len(t) for _, t in texts]])[:-1].astype(np.int64)
     total = sum(len(t) for _, t in texts)
     bare = {y: counts[y] - int((label == y).sum()) for y in (0, 1)}
-    n = counts[0] + counts[1]
+    n = every[0] + every[1]
+    stands = {y: every[y] / counts[y] / n for y in (0, 1)}
+    weight = np.where(label == 1, stands[1], stands[0])
     a_row, a_column = _flat([s for s, _ in swaps])
     b_row, b_column = _flat([s for _, s in swaps])
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     logit = lambda row, column, n: np.bincount(row, weights[column], minlength=n) + bias
-    weights, bias = np.zeros(size), float(np.log((counts[1] + 1) / (counts[0] + 1)))
+    weights, bias = np.zeros(size), float(np.log((every[1] + 1) / (every[0] + 1)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for k in range(1, steps + 1):
-        gradient = np.append(l2 * weights, (bare[0] * sigmoid(bias) + bare[1] * (sigmoid(bias) - 1)) / n)
+        gradient = np.append(l2 * weights, bare[0] * stands[0] * sigmoid(bias) + bare[1] * stands[1] * (sigmoid(bias) - 1))
         if total:
             score = logit(row, column, total)
             worst = np.maximum.reduceat(score, starts)
@@ -183,7 +190,7 @@ def _fit(size: int, texts: list[tuple[int, list]], counts: dict[int, int], swaps
             owner = np.searchsorted(starts, at, "right") - 1
             first[at[::-1]] = owner[::-1]
             tied = np.bincount(owner, minlength=len(texts))
-            wrong = (sigmoid(worst) - label) / n
+            wrong = weight * (sigmoid(worst) - label)
             share = np.where(first >= 0, (wrong / tied)[first], 0.0)
             gradient[:-1] += np.bincount(column, share[row], minlength=size)
             gradient[-1] += wrong.sum()
