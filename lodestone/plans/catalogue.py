@@ -1,6 +1,382 @@
-"""Named queries of the core engine and the DuckDB SQL that gives the same rows."""
+"""Named queries of the core engine on the supplied tables, and the DuckDB SQL that gives the same rows.
+
+The tables stand in for the engine's own: embeddings for children (label is the parent), documents for parents, orders
+for the document catalogue, customers for users, conversations for messages, pages for parsed documents.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.functions import validation as V
+from lodestone.operators import catalog, chunking, diff, retrieve, sections, sessions, vector
+from lodestone.sources import adapters, store
+from lodestone.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# vector search and retrieval
+
+
+def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as children; label is the parent, and the text is made of the id."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("parent_id"), F.concat(F.lit(" excerpt "), F.col("vec_id").cast("string")).alias("text"), "embedding")
+
+
+def _query_vector(children: DataFrame, key: int = 0) -> list[float]:
+    return children.where(F.col("id") == key).first()["embedding"]
+
+
+_SCORED = """
+q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)) AS score FROM embeddings)"""
+
+
+@_query(f"WITH {_SCORED} SELECT vec_id AS id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 5")
+def vector_topk(spark, sf_dir):
+    children = _children(spark, sf_dir)
+    return vector.topk(children, _query_vector(children), 5).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query(f"WITH {_SCORED} SELECT vec_id AS id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM s WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 5")
+def vector_topk_filtered(spark, sf_dir):
+    children = _children(spark, sf_dir)
+    only = spark.range(3, 4).select(F.col("id").alias("parent_id"))
+    return vector.topk(children, _query_vector(children), 5, only=only, only_key="parent_id").select("id", F.round("score", 6).alias("score"), "rank")
+
+
+def _metric(metric: str, sql: str):
+    def run(spark, sf_dir):
+        children = _children(spark, sf_dir)
+        queries = [(r["id"], r["embedding"]) for r in children.where("id < 20").select("id", "embedding").collect()]
+        return vector.batch_topk(children, queries, 5, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+    run.__name__ = "vector_topk_batch" if metric == "cosine" else f"vector_topk_{metric}"
+    return _query(f"""
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS id, {sql} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 20)) WHERE rank <= 5""")(run)
+
+
+_metric("cosine", "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
+_metric("dot", "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
+_metric("l2", "-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    children = _children(spark, sf_dir)
+    found = vector.topk(children, _query_vector(children), k)
+    return found.join(children.select("id", "parent_id", "text"), "id").select("rank", "parent_id", "text")
+
+
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("index"), "text")
+
+
+_HITS = f"""WITH {_SCORED},
+h AS (SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS rank, label AS parent_id, 'excerpt ' || vec_id AS text FROM s ORDER BY score DESC, vec_id LIMIT 20)"""
+
+
+@_query(f"""{_HITS},
+p AS (SELECT parent_id, min(rank) AS rank, string_agg(text, chr(10) ORDER BY rank) AS snippets FROM h GROUP BY parent_id),
+b AS (SELECT p.rank, 'Parent section (' || d.doc_id || '):' || chr(10) || d.text || chr(10) || chr(10) || 'Relevant child excerpts:' || chr(10) || p.snippets AS block
+      FROM p JOIN documents d ON d.doc_id = p.parent_id)
+SELECT string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context_text,
+       (SELECT count(*) FROM h) AS retrieved_children, count(*) AS retrieved_parents FROM b""")
+def retrieve_context(spark, sf_dir):
+    return retrieve.context(_hits(spark, sf_dir, 20), _parents(spark, sf_dir))
+
+
+@_query(f"{_HITS} SELECT parent_id::BIGINT AS parent_id, CAST(min(rank) AS INT) AS rank FROM h GROUP BY parent_id")
+def parent_dedup_rank(spark, sf_dir):
+    return retrieve.ranked_parents(_hits(spark, sf_dir, 20))
+
+
+@_query("SELECT vec_id AS id FROM embeddings WHERE len(embedding) IS DISTINCT FROM 64")
+def embedding_dim_check(spark, sf_dir):
+    return V.wrong_dimension(_children(spark, sf_dir), 64).select("id")
+
+
+@_query("SELECT vec_id AS id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 20 AS BIGINT) AS batch FROM embeddings")
+def batch_assign(spark, sf_dir):
+    return adapters.assign_batches(_children(spark, sf_dir), "id")
+
+
+@_query("SELECT item_id AS id, 32::INT AS dimensions FROM benchmark")
+def embed_passages(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    settings = adapters.Settings(dimensions=32, batch_delay_ms=0)
+    return adapters.embed_children(rows, lambda: adapters.HashEmbedder(32), settings).select("id", F.size("embedding").alias("dimensions"))
+
+
+# catalogue
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("email"))
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") == "F", "deleted").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("size"))
+
+
+_CATALOGUE = "c AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderstatus = 'F' THEN 'deleted' ELSE o_orderstatus END AS status, o_orderdate AS created_at, o_totalprice AS size FROM orders)"
+
+
+@_query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS email FROM customer WHERE regexp_matches(c_name, '(?i)er#0+1') OR regexp_matches(c_mktsegment, '(?i)er#0+1') OR regexp_matches(c_mktsegment, '(?i)^mach')")
+def user_search(spark, sf_dir):
+    return catalog.search(_users(spark, sf_dir), "er#0+1|^mach", ("name", "email"))
+
+
+@_query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS email FROM customer WHERE contains(lower(c_name), 'r#00000001') OR contains(lower(c_mktsegment), 'r#00000001')")
+def user_search_literal(spark, sf_dir):
+    return catalog.search(_users(spark, sf_dir), "R#00000001", ("name", "email"), literal=True)
+
+
+@_query(f"WITH {_CATALOGUE} SELECT * FROM c WHERE user_id <= 50 AND status IS DISTINCT FROM 'deleted' ORDER BY created_at DESC, id LIMIT 20 OFFSET 40")
+def list_documents_page(spark, sf_dir):
+    found = catalog.undeleted(_catalogue(spark, sf_dir).where("user_id <= 50"))
+    return catalog.page_of(found, [F.desc("created_at"), F.col("id")], 3, 20)
+
+
+@_query(f"WITH {_CATALOGUE} SELECT 3::INT AS page, 20::INT AS \"limit\", count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM c WHERE user_id <= 50 AND status IS DISTINCT FROM 'deleted'")
+def pagination_meta(spark, sf_dir):
+    return catalog.pagination(catalog.undeleted(_catalogue(spark, sf_dir).where("user_id <= 50")), 3, 20)
+
+
+@_query("SELECT o_orderkey AS id, o_totalprice AS size, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS parent_count FROM orders")
+def document_with_parent_count(spark, sf_dir):
+    return catalog.with_count(_catalogue(spark, sf_dir).select("id", "size"), "id", _table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@_query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS email FROM customer WHERE c_custkey = 42")
+def point_lookup(spark, sf_dir):
+    return catalog.lookup(_users(spark, sf_dir), "id", 42)
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def semi_lookup(spark, sf_dir):
+    gone = _catalogue(spark, sf_dir).where("status = 'deleted'").select(F.col("id").alias("l_orderkey"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(gone, "l_orderkey", "left_semi")
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
+def cascade_delete(spark, sf_dir):
+    gone = _catalogue(spark, sf_dir).where("status = 'deleted'")
+    return store.delete_by_ids(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+
+
+@_query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN 'deleted' WHEN o_orderstatus = 'F' THEN 'deleted' ELSE o_orderstatus END AS status FROM orders")
+def soft_delete(spark, sf_dir):
+    return store.update_where(_catalogue(spark, sf_dir), F.col("user_id") % 10 == 0, status=F.lit("deleted")).select("id", "status")
+
+
+@_query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'user ' || c_custkey ELSE c_name END AS name, c_mktsegment AS email FROM customer")
+def patch_users(spark, sf_dir):
+    users = _users(spark, sf_dir)
+    return store.patch(users, users.where("id % 7 = 0").select("id", F.concat(F.lit("user "), F.col("id").cast("string")).alias("name")))
+
+
+@_query("SELECT c_custkey AS id, c_name AS name FROM customer a WHERE c_custkey < 100 AND EXISTS (SELECT 1 FROM customer b WHERE b.c_name = a.c_name AND b.c_custkey IS DISTINCT FROM a.c_custkey + 1)")
+def email_conflict(spark, sf_dir):
+    users = _users(spark, sf_dir)
+    candidates = users.where("id < 100").select((F.col("id") + 1).alias("id"), "name")
+    return catalog.conflicts(candidates, users, "name", "id").select((F.col("id") - 1).alias("id"), "name")
+
+
+@_query("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'A valid email is required.' WHEN length(c_name) < 18 THEN 'Password is required and must be at least 6 characters long.' END AS error FROM customer")
+def user_validation(spark, sf_dir):
+    mail = F.when(F.col("email") == "MACHINERY", F.lit("a@b")).otherwise(F.concat(F.lit(" "), "email", F.lit("@Example.org ")))
+    password = F.when(F.length("name") < 18, "12345").otherwise("123456")
+    return _users(spark, sf_dir).select("id", V.user_error(F.col("name"), mail, password, F.lit(None).cast("string")).alias("error"))
+
+
+# content and incremental re-ingest
+
+
+@_query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of one source as a file's sections, before and after a third went, a third came, and half of the rest moved."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("source").alias("document_id"), "doc_id", "text", T.content_hash(F.col("text")).alias("content_hash"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
+    old = rows.where("doc_id % 3 < 2").select(F.col("doc_id").alias("id"), "document_id", F.col("doc_id").alias("index"), "text", "content_hash", "start_page", "end_page")
+    new = rows.where("doc_id % 3 > 0").select("document_id", (F.col("doc_id") + F.col("doc_id") % 2 * 10_000_000_000).alias("index"), "text", "content_hash", "start_page", "end_page")
+    return old, new
+
+
+_VERSIONS = """
+o AS (SELECT doc_id AS id, source AS document_id, doc_id AS idx, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 < 2),
+n AS (SELECT source AS document_id, doc_id + doc_id % 2 * 10000000000 AS idx, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 > 0),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY document_id, content_hash ORDER BY idx, id) AS occurrence FROM o),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY document_id, content_hash ORDER BY idx) AS occurrence FROM n),
+d AS (SELECT coalesce(o2.document_id, n2.document_id) AS document_id, coalesce(o2.content_hash, n2.content_hash) AS content_hash,
+             coalesce(o2.occurrence, n2.occurrence) AS occurrence, o2.id AS old_id, n2.idx AS new_index,
+             CASE WHEN o2.id IS NULL THEN 'changed' WHEN n2.idx IS NULL THEN 'removed' WHEN o2.idx = n2.idx THEN 'unchanged' ELSE 'reposition' END AS state
+      FROM o2 FULL JOIN n2 ON o2.document_id = n2.document_id AND o2.content_hash = n2.content_hash AND o2.occurrence = n2.occurrence)"""
+
+
+@_query(f"WITH {_VERSIONS} SELECT document_id, content_hash, CAST(occurrence AS INT) AS occurrence, coalesce(old_id, -1) AS old_id, coalesce(new_index, -1) AS new_index, state FROM d")
+def diff_classify(spark, sf_dir):
+    found = diff.classify(*_versions(spark, sf_dir))
+    return found.select("document_id", "content_hash", "occurrence", F.coalesce("old_id", F.lit(-1)).alias("old_id"), F.coalesce("new_place.index", F.lit(-1)).alias("new_index"), "state")
+
+
+@_query(f"""WITH {_VERSIONS} SELECT document_id, count(*) FILTER (state <> 'removed') AS parents_total, count(*) FILTER (state IN ('unchanged', 'reposition')) AS parents_unchanged,
+count(*) FILTER (state = 'changed') AS parents_changed_or_added, count(*) FILTER (state = 'removed') AS parents_removed FROM d GROUP BY document_id""")
+def diff_counters(spark, sf_dir):
+    return diff.counters(diff.classify(*_versions(spark, sf_dir)))
+
+
+@_query(f"WITH {_VERSIONS} SELECT document_id, content_hash, idx AS \"index\" FROM n")
+def diff_apply(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return diff.apply(diff.classify(old, new), old).select("document_id", "content_hash", "index")
+
+
+@_query(f"WITH {_VERSIONS} SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT old_id FROM d WHERE state = 'removed')")
+def diff_children(spark, sf_dir):
+    children = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent_id"), "l_linenumber")
+    return diff.surviving_children(diff.classify(*_versions(spark, sf_dir)), children).select(F.col("parent_id").alias("l_orderkey"), "l_linenumber")
+
+
+# sections and passages
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings and paragraphs of web pages as parsed documents; four nodes make a page."""
+    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.expr(r"regexp_extract_all(html, '<(h1|p)>([^<]+)', 1)").alias("tags"), F.expr(r"regexp_extract_all(html, '<(h1|p)>([^<]+)', 2)").alias("texts"))
+    rows = rows.where(F.size("tags") > 0)
+    at = F.sequence(F.lit(0), F.size("tags") - 1)
+    nodes = F.transform(at, lambda i: F.struct(i.alias("seq"), F.lit(0).alias("depth"), F.upper(F.get("tags", i)).alias("type"), F.lit(None).cast("string").alias("actual_text"), F.array(i.cast("long")).alias("mcids")))
+    page = lambda n: F.struct((n + 1).alias("page_num"), F.lit("").alias("text"), F.transform(F.filter(at, lambda i: F.floor(i / 4) == n), lambda i: F.struct(i.cast("long").alias("mcid"), F.get("texts", i).alias("text"))).alias("text_items"))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("tags") - 1) / 4).cast("int")), page)
+    return rows.select("doc_id", F.array_join("texts", "\n").alias("text"), pages.alias("pages"), nodes.alias("nodes"))
+
+
+_SPACE = "[\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+
+
+@_query(f"""
+WITH t AS (SELECT page_id, regexp_extract_all(html, '<(h1|p)>([^<]+)', 1) AS tags, regexp_extract_all(html, '<(h1|p)>([^<]+)', 2) AS texts FROM pages),
+n AS (SELECT page_id, unnest(range(len(tags))) AS seq, unnest(tags) AS tag, regexp_replace(regexp_replace(unnest(texts), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM t),
+p AS (SELECT *, seq // 4 + 1 AS page, sum((tag = 'h1')::INT) OVER (PARTITION BY page_id ORDER BY seq) AS parent_no FROM n),
+g AS (SELECT page_id, parent_no, string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (tag = 'p' AND text <> '') AS text,
+             min(page) AS start_page, max(page) FILTER (tag = 'h1' OR text <> '') AS end_page FROM p WHERE parent_no > 0 GROUP BY ALL)
+SELECT CAST(page_id AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY parent_no) - 1 AS INT) AS "index", text, sha256(text) AS content_hash,
+       CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page FROM g WHERE text IS NOT NULL""")
+def section_parents(spark, sf_dir):
+    return sections.section_parents(_parsed(spark, sf_dir)).drop("id")
+
+
+def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as parsed documents without structure: a page for each turn, its role and text as marked content."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    item = F.struct((F.col("turn") % 3).alias("mcid"), F.col("text"))
+    page = F.struct("turn", F.struct((F.col("turn") + 1).cast("int").alias("page_num"), F.when(F.col("role") == "system", "  ").otherwise(F.col("text")).alias("text"), F.array(item).alias("text_items")).alias("page"))
+    pages = F.transform(F.array_sort(F.collect_list(page)), lambda p: p["page"])
+    return rows.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(pages.alias("pages")).select("doc_id", F.lit("").alias("text"), "pages", F.expr("CAST(array() AS array<struct<seq:int,depth:int,type:string,actual_text:string,mcids:array<bigint>>>)").alias("nodes"))
+
+
+@_query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn % 3 AS mcid, string_agg(text, ' ' ORDER BY turn) AS text, CAST(min(turn) + 1 AS INT) AS page FROM conversations WHERE text <> '' GROUP BY ALL")
+def marked_content(spark, sf_dir):
+    return sections.marked_content(_talks(spark, sf_dir))
+
+
+@_query(f"""SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(place AS INT) AS "index", text, sha256(text) AS content_hash, CAST(turn + 1 AS INT) AS start_page, CAST(turn + 1 AS INT) AS end_page
+FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM conversations)
+WHERE role <> 'system' AND text <> ''""")
+def fallback_parents(spark, sf_dir):
+    return sections.logical_parents(_talks(spark, sf_dir)).drop("id")
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.lit(1).alias("start_page"))
+    return docs, chunking.child_chunks(docs)
+
+
+@_query()
+def child_chunks(spark, sf_dir):
+    return _passages(spark, sf_dir)[1]
+
+
+@_query("SELECT unnest(['blank', 'not in parent', 'repeated index', 'too long']) AS rule, 0::BIGINT AS violations")
+def chunk_invariants(spark, sf_dir):
+    docs, children = _passages(spark, sf_dir)
+    both = children.join(docs.select(F.col("id").alias("parent_id"), F.col("text").alias("whole")), "parent_id")
+    n = F.row_number().over(Window.partitionBy("parent_id", "index").orderBy("id"))
+    marks = both.withColumn("n", n).agg(F.count_if(T.trim(F.col("text")) == "").alias("blank"), F.count_if(~F.contains("whole", "text")).alias("not in parent"), F.count_if(F.col("n") > 1).alias("repeated index"), F.count_if(T.utf16_length(F.col("text")) > chunking.SIZE).alias("too long"))
+    return marks.unpivot([], ["blank", "not in parent", "repeated index", "too long"], "rule", "violations")
+
+
+# sessions
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+
+
+@_query("SELECT conv_id AS session_id, count(*) AS messages, string_agg(role || ':' || length(text), ',' ORDER BY turn) AS outline FROM conversations GROUP BY conv_id")
+def session_history(spark, sf_dir):
+    view = sessions.session_view(_messages(spark, sf_dir).withColumn("created_at", F.lit(None).cast("timestamp")))
+    outline = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.length(m["content"]).cast("string"))), ",")
+    return view.select("session_id", F.size("messages").cast("long").alias("messages"), outline.alias("outline"))
+
+
+@_query("SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
+def last_n_messages(spark, sf_dir):
+    return sessions.last_messages(_messages(spark, sf_dir), 3)
+
+
+@_query("SELECT conv_id AS session_id, max(turn) AS updated_at, 1::BIGINT AS user_id FROM conversations GROUP BY conv_id ORDER BY 2 DESC, 1")
+def session_list(spark, sf_dir):
+    rows = _messages(spark, sf_dir).groupBy("session_id").agg(F.max("seq").alias("updated_at")).withColumn("user_id", F.lit(1).cast("long"))
+    return sessions.list_sessions(rows, 1)
+
+
+@_query(f"""SELECT conv_id AS session_id, coalesce(nullif(regexp_replace(substr(arg_min(text, turn) FILTER (role = 'user'), 1, 40), '^{_SPACE}+|{_SPACE}+$', '', 'g'), ''), 'New chat') AS title
+FROM conversations GROUP BY conv_id""")
+def session_title(spark, sf_dir):
+    return sessions.session_view(_messages(spark, sf_dir).withColumn("created_at", F.lit(None).cast("timestamp"))).select("session_id", "title")
+
+
+@_query("SELECT conv_id AS session_id, turn AS seq, role FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')")
+def role_quarantine(spark, sf_dir):
+    return V.quarantine(_messages(spark, sf_dir), "role", V.MESSAGE_ROLES).select("session_id", "seq", "role")
+
+
+@_query(f"""SELECT conv_id AS session_id, 'user: {sessions.PREAMBLE}'.replace(chr(92) || 'n', chr(10)) || 'context' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 10 GROUP BY conv_id""")
+def prompt_assembly(spark, sf_dir):
+    made = sessions.prompts(_messages(spark, sf_dir), F.lit("context"))
+    return made.select("session_id", F.array_join(F.transform("contents", lambda c: F.concat(c["role"], F.lit(": "), c["text"])), "\n").alias("prompt"))
+
+
+@_query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    rows = ingest.windowed_counts(_table(spark, sf_dir, "events"))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", F.round("total", 4).alias("total"))
