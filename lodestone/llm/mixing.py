@@ -103,12 +103,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     """The rows of ``docs`` as often as the mix takes them, with all their columns; texts aren't shuffled where the
     thresholds are few enough to broadcast."""
     limits, sources = _thresholds(_light(docs, key, source, text), weights, share, cap)
-    limits = limits.select(F.struct("passes", "edge", "edge_in").alias("mix_limit"), F.col("s").alias("mix_source"))
-    columns = [docs[c] for c in docs.columns]
-    rows = docs.join(small(limits, sources), docs[source].eqNullSafe(limits["mix_source"]))
-    more = (_row_hash(key, text) < F.col("mix_limit.edge")) | ((_row_hash(key, text) == F.col("mix_limit.edge")) & F.col("mix_limit.edge_in"))
-    copies = F.col("mix_limit.passes") + F.coalesce(more, F.lit(False)).cast("long")
-    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source].alias("source"), _row_hash(key, text).alias("hash"))
+    rows = rows.join(small(limits, sources), F.col("source").eqNullSafe(F.col("s")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))).alias("copy")).select("row.*")
 
 
 ORACLE = r"""
