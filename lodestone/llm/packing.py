@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 CACHED_WORDS = 800_000
 #: Pieces of about so many documents are packed by one task.
 DOCS_PER_TASK = 100_000
-#: Sequences that a task holds open.
-OPEN_BINS = 1024
+#: Sequences that a task holds open, and pieces that it looks at before it places them, the longest first.
+OPEN_BINS = 4096
+WINDOW = 8192
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -187,18 +189,33 @@ def pack(pieces: DataFrame, tasks: int, length: int = 2048, open_bins: int = OPE
     """Adds sequence_id and offset to pieces: sequences of at most ``length`` ids, no gaps inside.
 
     Only lengths matter, so narrow rows are dealt by a hash into ``tasks`` even streams, and each stream is packed
-    online in the order of that hash, which reruns repeat.  A task's state is its open bins.
+    online, in the order of that hash, which reruns repeat; within WINDOW pieces the longest come first.  A task's state
+    is its open bins and one window.
     """
     schema = f"{', '.join(f'{n} {t}' for n, t in pieces.dtypes)}, sequence_id long, offset long"
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            while (room := WINDOW - sum(b.num_rows for b in held)) <= batch.num_rows:
+                yield pa.Table.from_batches([*held, batch.slice(0, room)]).combine_chunks().to_batches()[0]
+                held, batch = [], batch.slice(room)
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first, bins = TaskContext.get().partitionId() << 40, OpenBins(length, open_bins)
-        for batch in batches:
-            places = [bins.put(n) for n in batch.column("length").to_pylist()]
+        for batch in windows(batches):
+            size = batch.column("length").to_numpy()
+            order = np.argsort(-size, kind="stable")
+            places = np.empty((len(size), 2), np.int64)
+            places[order] = [bins.put(n) for n in size[order].tolist()]
             batch = batch.drop_columns(["dealt"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + b for b, _ in places], pa.int64()), pa.array([at for _, at in places], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + places[:, 0]), pa.array(places[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"])
 
     dealt = pieces.withColumn("dealt", F.xxhash64("doc_id", "piece", "ids_crc32"))
     return dealt.repartition(tasks, "dealt").sortWithinPartitions("dealt", "doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(fit, schema)
