@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import stable_id, trim
+from lodestone.sources.layout import spread
 
 #: Passage size and overlap in UTF-16 units, and separators from coarse to fine.
 SIZE, OVERLAP = 800, 120
@@ -22,44 +23,69 @@ def units(text: str) -> int:
     return len(text) if text.isascii() else len(text) + sum(c > "\uffff" for c in text)
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """The text cut before each separator, which stays at the start of what follows."""
-    if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [p for p in (first, *(separator + r for r in rest)) if p]
-
-
-def _merge(pieces: list[str], size: int, overlap: int, length: Callable[[str], int]) -> Iterator[str]:
-    window: deque[tuple[str, int]] = deque()
-    total = 0
-    for piece in pieces:
-        n = length(piece)
-        if window and total + n > size:
-            if whole := "".join(p for p, _ in window).strip(_SPACES):
-                yield whole
-            while total > overlap or (total + n > size and total > 0):
-                total -= window.popleft()[1]
-        window.append((piece, n))
-        total += n
-    if whole := "".join(p for p, _ in window).strip(_SPACES):
-        yield whole
-
-
-def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS, length: Callable[[str], int] = units) -> list[str]:
-    """Passages of at most ``size`` units where separators allow; whole pieces of at most ``overlap`` are carried over."""
-    at = next((k for k, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    rest = separators[at + 1 :] if separators[at] else ()
-    out: list[str] = []
-    short: list[str] = []
-    for piece in _pieces(text, separators[at]):
-        if length(piece) < size:
-            short.append(piece)
-            continue
-        out += _merge(short, size, overlap, length)
-        short = []
-        out += split_text(piece, size, overlap, rest, length) if rest else [piece]
-    return [*out, *_merge(short, size, overlap, length)]
+class _Splitter:
+    """Splits one text; pieces are spans of it, so passages are slices and nothing is joined."""
+
+    def __init__(self, text: str, size: int, overlap: int):
+        self.text, self.size, self.overlap = text, size, overlap
+        self.wide = not text.isascii() and any(c > "\uffff" for c in text)
+
+    def length(self, lo: int, hi: int) -> int:
+        return units(self.text[lo:hi]) if self.wide else hi - lo
+
+    def pieces(self, lo: int, hi: int, separator: str) -> list[tuple[int, int]]:
+        """The span cut before each place where the separator stands; it stays at the start of what follows."""
+        if not separator:
+            return [(k, k + 1) for k in range(lo, hi)]
+        out, start, at = [], lo, self.text.find(separator, lo + 1, hi)
+        while at >= 0:
+            out.append((start, at))
+            start, at = at, self.text.find(separator, at + 1, hi)
+        return [*out, (start, hi)]
+
+    def passage(self, lo: int, hi: int) -> list[str]:
+        text = self.text[lo:hi].strip(_SPACES)
+        return [text] if text else []
+
+    def merge(self, pieces: list[tuple[int, int]]) -> Iterator[str]:
+        """Neighbouring pieces together up to the size; whole pieces of at most the overlap are carried over."""
+        window: deque[tuple[int, int]] = deque()
+        total = start = end = 0
+        for lo, hi in pieces:
+            n = self.length(lo, hi)
+            if window and total + n > self.size:
+                yield from self.passage(start, end)
+                while total > self.overlap or (total + n > self.size and total > 0):
+                    start, gone = window.popleft()
+                    total -= gone
+                    start = window[0][0] if window else lo
+            if not window:
+                start = lo
+            window.append((lo, n))
+            total, end = total + n, hi
+        if window:
+            yield from self.passage(start, end)
+
+    def split(self, lo: int, hi: int, separators: tuple[str, ...]) -> list[str]:
+        if self.length(lo, hi) <= self.size:
+            return self.passage(lo, hi)
+        at = next((k for k, s in enumerate(separators) if not s or self.text.find(s, lo, hi) >= 0), len(separators) - 1)
+        rest = separators[at + 1 :] if separators[at] else ()
+        out: list[str] = []
+        short: list[tuple[int, int]] = []
+        for piece in self.pieces(lo, hi, separators[at]):
+            if self.length(*piece) < self.size:
+                short.append(piece)
+                continue
+            out += self.merge(short)
+            short = []
+            out += self.split(*piece, rest) if rest else self.passage(*piece)
+        return [*out, *self.merge(short)]
+
+
+def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Passages of at most ``size`` units where separators allow."""
+    return _Splitter(text, size, overlap).split(0, len(text), separators)
 
 
 def child_chunks(parents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -72,7 +98,7 @@ def child_chunks(parents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, size, overlap) if t else [])
 
-    passages = parents.select(F.col("id").alias("parent_id"), "document_id", "start_page", split("text").alias("passages"))
+    passages = spread(parents).select(F.col("id").alias("parent_id"), "document_id", "start_page", split("text").alias("passages"))
     rows = passages.select("parent_id", "document_id", "start_page", F.posexplode("passages").alias("index", "passage")).withColumn("text", trim("passage")).where("text <> ''")
     return rows.select(stable_id(F.col("parent_id"), F.col("index"), F.sha2("text", 256)).alias("id"), "document_id", "parent_id", "index", "text", F.col("start_page").alias("page_number"))
 

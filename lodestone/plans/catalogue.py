@@ -15,6 +15,7 @@ from lodestone.functions import text as T
 from lodestone.functions import validation as V
 from lodestone.operators import catalog, chunking, diff, retrieve, sections, sessions, vector
 from lodestone.sources import adapters, store
+from lodestone.sources.layout import spread
 from lodestone.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,12 +270,12 @@ def diff_children(spark, sf_dir):
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings and paragraphs of web pages as parsed documents; four nodes make a page."""
-    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.expr(r"regexp_extract_all(html, '<(h1|p)>([^<]+)', 1)").alias("tags"), F.expr(r"regexp_extract_all(html, '<(h1|p)>([^<]+)', 2)").alias("texts"))
+    rows = spread(_table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("doc_id"), F.expr(r"regexp_extract_all(html, '<(h1|p)>([^<]+)', 1)").alias("tags"), F.expr(r"regexp_extract_all(html, '<(h1|p)>([^<]+)', 2)").alias("texts"))
     rows = rows.where(F.size("tags") > 0)
     at = F.sequence(F.lit(0), F.size("tags") - 1)
     nodes = F.transform(at, lambda i: F.struct(i.alias("seq"), F.lit(0).alias("depth"), F.upper(F.get("tags", i)).alias("type"), F.lit(None).cast("string").alias("actual_text"), F.array(i.cast("long")).alias("mcids")))
-    page = lambda n: F.struct((n + 1).alias("page_num"), F.lit("").alias("text"), F.transform(F.filter(at, lambda i: F.floor(i / 4) == n), lambda i: F.struct(i.cast("long").alias("mcid"), F.get("texts", i).alias("text"))).alias("text_items"))
-    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("tags") - 1) / 4).cast("int")), page)
+    items = lambda n: F.transform(F.slice(at, n * 4 + 1, F.lit(4)), lambda i: F.struct(i.cast("long").alias("mcid"), F.get("texts", i).alias("text")))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("tags") - 1) / 4).cast("int")), lambda n: F.struct((n + 1).alias("page_num"), F.lit("").alias("text"), items(n).alias("text_items")))
     return rows.select("doc_id", F.array_join("texts", "\n").alias("text"), pages.alias("pages"), nodes.alias("nodes"))
 
 
