@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.layout import spread
+
 #: The white space that separates words: space, and tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 #: One word, for regular expressions of Spark and of DuckDB.
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, over all cores where it is small and in few files."""
+    return spread(table(spark, sf_dir, name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 

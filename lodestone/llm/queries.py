@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import ann, dedup, html, langid, licenses, mixing, neardup, packing, pii, toxicity
-from lodestone.llm.common import remainder, table
+from lodestone.llm.common import remainder, table, wide_table
 from lodestone.llm.licence_texts import LICENCES, NOTICES
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1 and 150 % of all words."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(wide_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by a Jaccard similarity of 0.8 or more of their word 5-grams, in classes."""
-    return neardup.jaccard_classes(table(spark, sf_dir, "documents"))
+    return neardup.jaccard_classes(wide_table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,19 +35,19 @@ def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return html.extract_main_text(table(spark, sf_dir, "pages"))
+    return html.extract_main_text(wide_table(spark, sf_dir, "pages"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = wide_table(spark, sf_dir, "documents")
     model = langid.fit_languages(docs, remainder(F.col("doc_id"), 3) != 1)
     return langid.predict_language(docs, model).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence that each document is, and the notices that it holds."""
-    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+    return licenses.scan_licences(wide_table(spark, sf_dir, "documents"))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
@@ -58,7 +58,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
-    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    scored = toxicity.score_toxicity(wide_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -66,13 +66,13 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str, tokenizer: str = "word_
     """All documents packed into sequences of 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+    return packing.pack_documents(wide_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses replaced by keyed pseudonyms."""
     secret = spark.conf.get("spark.lodestone.pseudonym.key", "lodestone example key")
-    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), secret.encode())
+    return pii.pseudonymise_documents(wide_table(spark, sf_dir, "documents"), secret.encode())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
