@@ -98,3 +98,12 @@ def test_settings(spark):
     found = adapters.Settings.from_conf(spark)
     assert (found.top_k, found.candidates, found.dimensions) == (7, 50, 768)
     spark.conf.unset("spark.lodestone.top_k")
+
+
+def test_spread_keeps_rows(spark, tmp_path):
+    from lodestone.sources.layout import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spread(spark.read.parquet(str(tmp_path / "t")))
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == 100
+    assert spread(spark.range(5)).count() == 5
