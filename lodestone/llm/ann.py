@@ -23,7 +23,7 @@ RECALL = 0.97
 #: Lists that a query scans first, for the distance which the others must beat.
 FIRST = 3
 #: Vectors and queries of one scan; dimensions of one block; standard deviations of the test that abandons a candidate.
-VECTORS, QUERIES, STEP, DEVIATIONS = 4096, 1024, 16, 3.0
+VECTORS, QUERIES, STEP, DEVIATIONS = 1024, 1024, 16, 3.0
 
 
 @dataclass
@@ -211,9 +211,9 @@ def _scan_lists(listed: DataFrame, asking: DataFrame, index: Index, shared, held
             out: tuple[list, list, list] = ([], [], [])
             best = np.where(np.isnan(least), -np.inf, least)
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for lo_ in range(0, at, 1024):  # the limit tightens from one part of the block to the next
+            for lo_ in range(0, at, 512):  # the limit tightens from one part of the block to the next
                 limit = np.where(np.isinf(best), np.inf, length + index.longest - 2 * best)
-                q, v = scan(wanted, placed[lo_ : lo_ + 1024], limit)
+                q, v = scan(wanted, placed[lo_ : lo_ + 512], limit)
                 v = v + lo_
                 score = np.einsum("ij,ij->i", query[q].astype(np.float64), vectors[v].astype(np.float64))
                 fine = (score >= best[q]) & (own[v] != asking[q])
