@@ -16,8 +16,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) edges to (node, component), the component being its smallest node; only nodes with an edge appear.
 
     Alternating large-star and small-star steps: each is a minimum by node, which combines before the shuffle, and a
-    join back, so a hub is a skewed join side that adaptive execution splits.  The rounds follow the logarithm of the
-    largest component; lineage is cut after each.
+    join back.  Minima are cut off before the join, so that both its sides are plain exchanges, whose hot partitions (a
+    hub's edges) adaptive execution splits.  The rounds follow the logarithm of the largest component.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct())
     seen = _digest(edges)
@@ -25,9 +25,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m")))
+        large = cut(edges.join(least, "b").select("a", F.col("m").alias("b")).distinct())
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = cut(small.distinct())
         now = _digest(edges)
