@@ -22,7 +22,7 @@ LEAF = 64
 DEPTH = 3
 #: Sets of one comparison task: of sketches, and of whole sets.
 SKETCH_BLOCK = 512
-SET_BLOCK = 1024
+SET_BLOCK = 512
 #: Share of equal sampled tokens below the threshold at which two sets are no candidates (over 4 standard deviations).
 SLACK = 0.22
 
@@ -34,7 +34,7 @@ def sketches(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "
     schema = "doc_id long, w1 long, w2 long, sketch array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in textvec.slices(whole.column(1))):
             of, word = textvec.word_hashes(batch.column(1))
             n = batch.num_rows
             of_shingle, shingle = textvec.shingles(of, word, words)
@@ -68,9 +68,10 @@ def sketches(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "
 def _shared(rows: DataFrame) -> DataFrame:
     """(node, run, path) with n, the sets on the path, where there are 2 or more.
 
-    Counts combine before the shuffle; a hot path is a skewed side of the join back.
+    Counts combine before the shuffle, and are cut off before the join, so that a hot path is a plain skewed exchange,
+    which adaptive execution splits.
     """
-    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     return cut(rows.join(counts, "path").select("node", "run", "path", "n"))
 
 
@@ -185,7 +186,7 @@ def verified_links(clusters: DataFrame, docs: DataFrame, threshold: float, words
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in textvec.slices(whole.column("text"))):
             of, shingle = textvec.shingles(*textvec.word_hashes(batch.column("text")), words)
             edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
             packed = [np.unique(shingle[lo:hi]).tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
@@ -230,7 +231,7 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     row = np.repeat(np.arange(len(sets)), size)
     common = np.bincount(place, minlength=len(token))[place] > 1
     place, row = np.unique(place[common], return_inverse=True)[1], row[common]
-    both = np.zeros((len(sets), len(sets)), np.float64)
+    both = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers, exact up to 2**24
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
     step = 4096
@@ -239,7 +240,7 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         part = np.zeros((len(sets), step), np.float32)
         part[row[a:b], place[a:b] - lo] = 1
         both += part @ part.T
-    return both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    return (1 + threshold) * both.astype(np.float64) >= threshold * (size[:, None] + size[None, :]) - 1e-9
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,7 +264,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, rec
     leaves = chosen_paths(nodes, threshold, recall)
     grouped = components(candidate_edges(leaves, nodes, threshold)).withColumnRenamed("component", "cluster")
     grouped = cut(grouped)
-    clusters = grouped.join(grouped.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster")
+    clusters = grouped.join(cut(grouped.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))), "cluster")
     texts = base.select("node", "text")
     found = cut(verified_links(clusters, texts, threshold, words))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("star").alias("star"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a worker keeps; the older half goes when it is full.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 #: Pieces of about so many documents are packed by one task.
 DOCS_PER_TASK = 100_000
 #: Sequences that a task holds open, and pieces that it looks at before it places them, the longest first.

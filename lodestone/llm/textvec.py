@@ -74,8 +74,15 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def chunks(column: pa.Array, lower: bool = True) -> Iterator[Words]:
     """Words of all texts of a column, about CHUNK bytes at a time; a long text comes in several runs, in order.
 
-    Sentences are numbered within a run, and a sentence ends with its text.
+    Sentences are numbered within a run, and a sentence ends with its text.  Copies in lower case are of a few runs.
     """
+    for lo, hi in slices(column):
+        for words in _chunks(column.slice(lo, hi - lo), lower):
+            words.text += lo
+            yield words
+
+
+def _chunks(column: pa.Array, lower: bool) -> Iterator[Words]:
     data, offsets = _bytes(pc.utf8_lower(column.cast(pa.large_string())) if lower else column)
     at, last = int(offsets[0]), int(offsets[-1])
     while at < last:
@@ -102,6 +109,16 @@ def chunks(column: pa.Array, lower: bool = True) -> Iterator[Words]:
         at = stop
 
 
+def slices(column: pa.Array, limit: int = 4 * CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` bytes together; a longer text stands alone."""
+    _, offsets = _bytes(column)
+    lo, rows = 0, len(offsets) - 1
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        yield lo, min(hi, rows)
+        lo = hi
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every lower-case word of a column, in order."""
     found = [(w.text, w.hashes) for w in chunks(column)]

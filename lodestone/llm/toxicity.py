@@ -241,6 +241,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            yield batch.filter(pa.array(_logits(batch.column(text), weights, bias) < 0))
+            for lo, hi in textvec.slices(batch.column(text)):
+                part = batch.slice(lo, hi - lo)
+                yield part.filter(pa.array(_logits(part.column(text), weights, bias) < 0))
 
     return docs.mapInArrow(work, docs.schema)
