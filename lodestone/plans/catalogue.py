@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import markup
 from lodestone.functions import text as T
 from lodestone.functions import validation as V
 from lodestone.operators import catalog, chunking, diff, retrieve, sections, sessions, vector
@@ -294,6 +295,40 @@ def section_parents(spark, sf_dir):
     return sections.section_parents(_parsed(spark, sf_dir)).drop("id")
 
 
+def _parsed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every heading and paragraph of web pages with its whole text as parsed documents; four nodes make a page."""
+    rows = spread(_table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("doc_id"), markup.html_elements(F.col("html")).alias("found")).where(F.size("found") > 0)
+    at = F.sequence(F.lit(0), F.size("found") - 1)
+    nodes = F.transform(at, lambda i: F.struct(i.alias("seq"), F.lit(0).alias("depth"), F.upper(F.get("found", i)["tag"]).alias("type"), F.lit(None).cast("string").alias("actual_text"), F.array(i.cast("long")).alias("mcids")))
+    items = lambda n: F.transform(F.slice(at, n * 4 + 1, F.lit(4)), lambda i: F.struct(i.cast("long").alias("mcid"), F.get("found", i)["text"].alias("text")))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("found") - 1) / 4).cast("int")), lambda n: F.struct((n + 1).alias("page_num"), F.lit("").alias("text"), items(n).alias("text_items")))
+    return rows.select("doc_id", F.array_join(F.col("found.text"), "\n").alias("text"), pages.alias("pages"), nodes.alias("nodes"))
+
+
+_BLOCKS = "|".join(sorted(markup.BLOCK))
+_PLAIN = r"regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style|template|title|textarea|noscript|iframe)(?:\s[^>]*)?>.*?</(?:script|style|template|title|textarea|noscript|iframe)\s*>', '', 'g')"
+_PLAIN = rf"regexp_replace({_PLAIN}, '(?i)<(h[1-6]|p)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g')"
+_PLAIN = rf"regexp_replace({_PLAIN}, '(?i)</?(?:{_BLOCKS})(?:\s[^>]*)?>', chr(1) || chr(2), 'g')"
+_PLAIN = f"regexp_replace(regexp_replace({_PLAIN}, '(?i)<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"
+
+
+@_query(f"""
+WITH t AS (SELECT page_id, string_split({_PLAIN}, chr(1)) AS pieces FROM pages),
+u AS (SELECT page_id, unnest(range(len(pieces))) AS place, unnest(pieces) AS piece FROM t),
+e AS (SELECT page_id, place, lower(split_part(piece, chr(2), 1)) AS tag, replace(replace(replace(replace(split_part(piece, chr(2), 2), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS raw FROM u WHERE contains(piece, chr(2))),
+f AS (SELECT page_id, place, tag, regexp_replace(regexp_replace(raw, '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM e WHERE tag <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS seq, CASE WHEN tag <> 'p' THEN CAST(substr(tag, 2) AS INT) END AS level FROM f WHERE text <> ''),
+s AS (SELECT *, seq // 4 + 1 AS page, level IS NOT NULL AND (level = 1 OR count(level) OVER (PARTITION BY page_id ORDER BY seq) = 1) AS starts FROM n),
+p AS (SELECT *, sum(starts::INT) OVER (PARTITION BY page_id ORDER BY seq) AS parent_no FROM s),
+g AS (SELECT page_id, parent_no, string_agg(CASE WHEN level IS NULL THEN text ELSE repeat('#', level) || ' ' || text END, chr(10) || chr(10) ORDER BY seq) FILTER (NOT starts) AS text,
+             min(page) AS start_page, max(page) FILTER (starts OR level IS NULL) AS end_page FROM p WHERE parent_no > 0 GROUP BY ALL)
+SELECT CAST(page_id AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY parent_no) - 1 AS INT) AS "index", text, sha256(text) AS content_hash,
+       CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page FROM g WHERE text IS NOT NULL""")
+def section_parents_whole(spark, sf_dir):
+    """``section_parents`` over all headings and paragraphs, whole; that query and its SQL read texts up to the first tag."""
+    return sections.section_parents(_parsed_whole(spark, sf_dir)).drop("id")
+
+
 def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as parsed documents without structure: a page for each turn, its role and text as marked content."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
