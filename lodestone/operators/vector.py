@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 METRICS = ("cosine", "dot", "l2")
 #: Numbers of the queries that are broadcast at once; more queries are searched in groups.
 QUERY_CELLS = 4_000_000
+#: Scores that a task holds at once.
+SCORE_CELLS = 4_000_000
 
 
 def _scores(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -25,11 +28,12 @@ def _scores(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
         return np.where(q * r > 0, dot / np.sqrt(q * r), 0.0)
 
 
-def batch_topk(children: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: str = "cosine", key: str = "id", vector: str = "embedding") -> DataFrame:
+def batch_topk(children: DataFrame, queries: Iterable[tuple[int, Sequence[float]]], k: int, metric: str = "cosine", key: str = "id", vector: str = "embedding") -> DataFrame:
     """Each query's k best rows: query_id, the key, score, rank; ties go to the smaller key.
 
     Larger is better for every metric (l2 is the negative distance).  Rows without a vector, or of another dimension,
-    take no part.  Each partition gives k rows for each query at most, so the merge doesn't grow with the rows.
+    take no part.  Each partition gives k rows for each query at most, so the merge doesn't grow with the rows.  Queries
+    may come from an iterator: only one broadcast's worth of them is held at a time.  They are of one dimension.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
@@ -37,9 +41,11 @@ def batch_topk(children: DataFrame, queries: Sequence[tuple[int, Sequence[float]
     schema = f"query_id long, {key} {key_type}, score double"
     spark = children.sparkSession
     found = None
-    step = max(1, QUERY_CELLS // max(1, len(queries[0][1]))) if queries else 1
-    for lo in range(0, len(queries), step):
-        part = queries[lo : lo + step]
+    queries = iter(queries)
+    first = next(queries, None)
+    step = max(1, QUERY_CELLS // max(1, len(first[1]))) if first else 1
+    queries = chain([first] if first else [], queries)
+    while part := list(islice(queries, step)):
         shared = spark.sparkContext.broadcast((np.array([q for q, _ in part]), np.array([v for _, v in part], float)))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -50,14 +56,16 @@ def batch_topk(children: DataFrame, queries: Sequence[tuple[int, Sequence[float]
                     continue
                 keys = batch.column(0).to_pylist()
                 rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
-                scores = _scores(query, rows, metric)
-                for n in range(len(ids)):
-                    cut = np.partition(scores[n], -k)[-k] if len(keys) > k else -np.inf
-                    near = np.flatnonzero(scores[n] >= cut)
-                    held = best.get(n, ([], np.zeros(0)))
-                    all_keys, all_scores = held[0] + [keys[j] for j in near], np.concatenate([held[1], scores[n][near]])
-                    order = sorted(range(len(all_keys)), key=lambda j: (-all_scores[j], all_keys[j]))[:k]
-                    best[n] = [all_keys[j] for j in order], all_scores[order]
+                block = max(1, SCORE_CELLS // len(keys))
+                for lo in range(0, len(ids), block):
+                    scores = _scores(query[lo : lo + block], rows, metric)
+                    for n, score in enumerate(scores, lo):
+                        cut = np.partition(score, -k)[-k] if len(keys) > k else -np.inf
+                        near = np.flatnonzero(score >= cut)
+                        held = best.get(n, ([], np.zeros(0)))
+                        all_keys, all_scores = held[0] + [keys[j] for j in near], np.concatenate([held[1], score[near]])
+                        order = sorted(range(len(all_keys)), key=lambda j: (-all_scores[j], all_keys[j]))[:k]
+                        best[n] = [all_keys[j] for j in order], all_scores[order]
             for n, (keys, scores) in best.items():
                 yield pa.RecordBatch.from_arrays([pa.array([int(ids[n])] * len(keys), pa.int64()), pa.array(keys, type=pa_type), pa.array(scores)], names=["query_id", key, "score"])
 

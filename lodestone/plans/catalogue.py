@@ -86,6 +86,26 @@ _metric("dot", "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
 _metric("l2", "-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
 
 
+def _metric_all(metric: str, sql: str):
+    """The stated queries, every fiftieth id, against all rows; the forms above search for 20 rows at every scale."""
+
+    def run(spark, sf_dir):
+        children = _children(spark, sf_dir)
+        queries = ((r["id"], r["embedding"]) for r in children.where("id % 50 = 0 AND embedding IS NOT NULL").select("id", "embedding").toLocalIterator())
+        return vector.batch_topk(children, queries, 5, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+    run.__name__ = "vector_topk_batch_all" if metric == "cosine" else f"vector_topk_{metric}_all"
+    return _query(f"""
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS id, {sql} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0 AND a.embedding IS NOT NULL AND len(b.embedding) = len(a.embedding))) WHERE rank <= 5""")(run)
+
+
+_metric_all("cosine", "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
+_metric_all("dot", "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
+_metric_all("l2", "-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
+
+
 def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     children = _children(spark, sf_dir)
     found = vector.topk(children, _query_vector(children), k)

@@ -25,3 +25,15 @@ def test_section_parents_whole(spark, tmp_path):
     df = run(spark, tmp_path, "pages", "section_parents_whole", "page_id long, html string", [(1, PAGE), (2, "none"), (3, None)])
     assert df.toPandas()["text"].tolist() == ["Lead text goes on\n\none two three\n\n## Sub\n\nlast end"]
     assert oracle.same_rows(df, oracle.connect({"pages": spark.createDataFrame([(1, PAGE)], "page_id long, html string").toPandas()}), catalogue.ORACLE_SQL["section_parents_whole"]) == 1
+
+
+def test_vector_topk_all(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.vector.QUERY_CELLS", 4)  # two queries a broadcast
+    monkeypatch.setattr("lodestone.operators.vector.SCORE_CELLS", 1)
+    rows = [(n, 0, [float(n % 7 + 1), float(n % 11)]) for n in range(260)]
+    columns = "vec_id long, label int, embedding array<float>"
+    frame = spark.createDataFrame(rows, columns).toPandas()
+    for name in ("vector_topk_batch_all", "vector_topk_dot_all", "vector_topk_l2_all"):
+        df = run(spark, tmp_path, "embeddings", name, columns, rows)
+        assert {r["query_id"] for r in df.collect()} == {0, 50, 100, 150, 200, 250}
+        assert oracle.same_rows(df, oracle.connect({"embeddings": frame}), catalogue.ORACLE_SQL[name]) == 30
