@@ -227,6 +227,14 @@ def email_conflict(spark, sf_dir):
     return catalog.conflicts(candidates, users, "name", "id").select((F.col("id") - 1).alias("id"), "name")
 
 
+@_query("SELECT c_custkey AS id, c_name AS name FROM customer a WHERE EXISTS (SELECT 1 FROM customer b WHERE b.c_name = a.c_name AND b.c_custkey IS DISTINCT FROM a.c_custkey + 1)")
+def email_conflict_all(spark, sf_dir):
+    """``email_conflict`` over all customers."""
+    users = _users(spark, sf_dir)
+    candidates = users.select((F.col("id") + 1).alias("id"), "name")
+    return catalog.conflicts(candidates, users, "name", "id").select((F.col("id") - 1).alias("id"), "name")
+
+
 @_query("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'A valid email is required.' WHEN length(c_name) < 18 THEN 'Password is required and must be at least 6 characters long.' END AS error FROM customer")
 def user_validation(spark, sf_dir):
     mail = F.when(F.col("email") == "MACHINERY", F.lit("a@b")).otherwise(F.concat(F.lit(" "), "email", F.lit("@Example.org ")))

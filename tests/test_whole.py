@@ -37,3 +37,9 @@ def test_vector_topk_all(spark, tmp_path, monkeypatch):
         df = run(spark, tmp_path, "embeddings", name, columns, rows)
         assert {r["query_id"] for r in df.collect()} == {0, 50, 100, 150, 200, 250}
         assert oracle.same_rows(df, oracle.connect({"embeddings": frame}), catalogue.ORACLE_SQL[name]) == 30
+
+
+def test_email_conflict_all(spark, tmp_path):
+    rows = [(1, "a", "x"), (2, "b", "x"), (150, "c", "x"), (151, "c", "x"), (400, None, "x")]
+    df = run(spark, tmp_path, "customer", "email_conflict_all", "c_custkey long, c_name string, c_mktsegment string", rows)
+    assert sorted(r["id"] for r in df.collect()) == [1, 2, 150, 151]
