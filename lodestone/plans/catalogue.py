@@ -187,6 +187,18 @@ def pagination_meta(spark, sf_dir):
     return catalog.pagination(catalog.undeleted(_catalogue(spark, sf_dir).where("user_id <= 50")), 3, 20)
 
 
+@_query(f"WITH {_CATALOGUE} SELECT * FROM c WHERE status IS DISTINCT FROM 'deleted' ORDER BY created_at DESC, id LIMIT 20 OFFSET 40")
+def list_documents_page_all(spark, sf_dir):
+    """``list_documents_page`` over all owners."""
+    return catalog.page_of(catalog.undeleted(_catalogue(spark, sf_dir)), [F.desc("created_at"), F.col("id")], 3, 20)
+
+
+@_query(f"WITH {_CATALOGUE} SELECT 3::INT AS page, 20::INT AS \"limit\", count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM c WHERE status IS DISTINCT FROM 'deleted'")
+def pagination_meta_all(spark, sf_dir):
+    """``pagination_meta`` over all owners."""
+    return catalog.pagination(catalog.undeleted(_catalogue(spark, sf_dir)), 3, 20)
+
+
 @_query("SELECT o_orderkey AS id, o_totalprice AS size, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS parent_count FROM orders")
 def document_with_parent_count(spark, sf_dir):
     return catalog.with_count(_catalogue(spark, sf_dir).select("id", "size"), "id", _table(spark, sf_dir, "lineitem"), "l_orderkey")

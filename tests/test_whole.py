@@ -43,3 +43,10 @@ def test_email_conflict_all(spark, tmp_path):
     rows = [(1, "a", "x"), (2, "b", "x"), (150, "c", "x"), (151, "c", "x"), (400, None, "x")]
     df = run(spark, tmp_path, "customer", "email_conflict_all", "c_custkey long, c_name string, c_mktsegment string", rows)
     assert sorted(r["id"] for r in df.collect()) == [1, 2, 150, 151]
+
+
+def test_pages_all(spark, tmp_path):
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string, o_totalprice double"
+    rows = [(n, n, "F" if n % 2 else "O", "d", 1.0) for n in range(1, 201)]
+    assert run(spark, tmp_path, "orders", "pagination_meta_all", columns, rows).first()["total"] == 100
+    assert [r["id"] for r in run(spark, tmp_path, "orders", "list_documents_page_all", columns, rows).collect()] == list(range(82, 122, 2))
