@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.licence_digests import DIGESTS
 from lodestone.llm.licence_texts import LICENCES, NOTICES
 
 #: Spellings that licence matching takes as equal.  Fixed values, from the public SPDX matching guidelines.
@@ -19,13 +20,20 @@ PHRASES = (("sub license", "sublicense"), ("non infringement", "noninfringement"
 
 #: A line that states a copyright.
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright (\(c\)|©|[0-9])|\(c\)|©|all rights reserved).*$"
+#: What licences and notices begin with: a copyright statement on the same line ends there.
+OPENINGS = "permission is hereby granted|permission to use|redistribution and use|this software is provided|this software is licensed|this work is licensed|licensed under|released under|distributed under|this program is free software|this is free and unencumbered"
+#: A copyright statement before one of them, perhaps behind the licence's heading.
+COPYRIGHT_CLAUSE = rf"(?s)^((?:(?:the )?(?:mit|isc|zlib|bsd [23]-clause|bsd zero clause) license|mit no attribution)?[^\p{{L}}\p{{N}}]*)(?:copyright (?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved).*?(?=\b(?:{OPENINGS})\b)"
 #: What isn't a letter or a digit.
 BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def _line(text: Column) -> Column:
-    """Lower case, one spelling, words of letters and digits with single spaces; empty for a copyright line."""
-    plain = F.lower(text)
+    """Lower case, one spelling, words of letters and digits with single spaces; empty for a copyright line.
+
+    Of a line that goes on with a licence or a notice, the copyright statement alone is left out.
+    """
+    plain = F.regexp_replace(F.lower(text), COPYRIGHT_CLAUSE, "$1 ")
     plain = F.trim(F.regexp_replace(F.when(plain.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(plain), BETWEEN, " "))
     for variant, one in WORDS:
         plain = F.replace(plain, F.lit(variant), F.lit(one))
@@ -48,13 +56,17 @@ def canonical(lines: Column) -> Column:
 
 
 def known_licences(spark, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license_id, digest) of the given texts, the known licences and their notices by default.
+    """(license_id, digest) of the given texts; by default, of the known licences, their notices and the full long licences.
 
     The first name wins where two texts have one canonical form.
     """
+    full = DIGESTS if texts is None else {}
     texts = LICENCES | NOTICES if texts is None else texts
     rows = [F.struct(F.lit(name).alias("license_id"), F.lit(n).alias("n"), F.lit(text).alias("text")) for n, (name, text) in enumerate(texts.items())]
     frame = spark.range(1).select(F.inline(F.array(*rows))).select("license_id", "n", F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("digest"))
+    if full:
+        digests = [F.struct(F.lit(name).alias("license_id"), F.lit(len(texts) + n).alias("n"), F.lit(digest).alias("digest")) for n, (digest, name) in enumerate(full.items())]
+        frame = frame.unionByName(spark.range(1).select(F.inline(F.array(*digests))))
     return frame.groupBy("digest").agg(F.min(F.struct("n", "license_id")).alias("first")).select(F.col("first.license_id").alias("license_id"), "digest")
 
 
