@@ -165,7 +165,7 @@ KINDS: dict[str, tuple[str, Callable[[str, Cipher, bool], str | None]]] = {
     "access_key": (r"\bA[KS]IA[0-9A-Z]{16}\b", _key_id),
     "iban": (r"\b[A-Z]{2}\d{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)\b", _iban),
     "ip": (r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)", _ip),
-    "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!\w|[./-]\d)", _date),
+    "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d)|\d{4}/\d{2}/\d{2}(?=T\d)|(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!\w|[./-]\d))", _date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)", _ssn),
     "card": (r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)", _card),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w|[-.]\d)", _phone),
@@ -173,6 +173,36 @@ KINDS: dict[str, tuple[str, Callable[[str, Cipher, bool], str | None]]] = {
 _PATTERNS = [(kind, re.compile(pattern), replace) for kind, (pattern, replace) in KINDS.items()]
 
 
+#: Kinds with a check digit whose groups stand between spaces, so that a match may hold a neighbour's groups too.
+GROUPED = ("iban", "card")
+
+
+def _grouped(text: str, pattern: re.Pattern, replace: Callable, taken: list[tuple[int, int]], cipher: Cipher, back: bool) -> list[tuple[int, int, str]]:
+    """(start, end, new) of the valid values: of a match the longest valid run of groups, else on from its next group.
+
+    A new value is permuted on while it would make a longer run valid that wasn't, so that ``back`` finds the same runs.
+    """
+    found, failed, at = [], [], 0
+    while m := pattern.search(text, at):
+        lo, hit = m.start(), None
+        for hi in [m.end(), *(lo + k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " ")]:
+            if any(a < hi and lo < b for a, b in taken) or (hi < m.end() and not pattern.fullmatch(text, lo, hi)):
+                continue
+            if (new := replace(text[lo:hi], cipher, back)) is not None:
+                near = [(a, b) for a, b in failed if a < hi and lo < b]
+                while any(replace(text[a:lo] + new[max(a - lo, 0) : b - lo] + text[hi:b], cipher, back) is not None for a, b in near):
+                    new = replace(new, cipher, back)
+                hit = (lo, hi, new)
+                break
+            failed.append((lo, hi))
+        if hit:
+            found.append(hit)
+            at = hit[1]
+        else:
+            at = lo + m[0].index(" ") + 1 if " " in m[0] else m.end()
+    return found
+
+
 def pseudonymise(text: str, cipher: Cipher, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every valid value replaced, and how many of each kind; ``back`` undoes it."""
     found: list[tuple[int, int, str, str]] = []
@@ -180,11 +210,14 @@ def pseudonymise(text: str, cipher: Cipher, back: bool = False) -> tuple[str, di
     for kind, pattern, replace in _PATTERNS:
         if kind == "email" and "@" not in text or kind == "access_key" and "IA" not in text:
             continue
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            if (new := replace(m[0], cipher, back)) is not None:
-                found.append((m.start(), m.end(), kind, new))
+        if kind in GROUPED:
+            found += [(a, b, kind, new) for a, b, new in _grouped(text, pattern, replace, taken, cipher, back)]
+        else:
+            for m in pattern.finditer(text):
+                if any(a < m.end() and m.start() < b for a, b in taken):
+                    continue
+                if (new := replace(m[0], cipher, back)) is not None:
+                    found.append((m.start(), m.end(), kind, new))
         taken = [(a, b) for a, b, _, _ in found]
     found.sort()
     out, at, counts = [], 0, {}

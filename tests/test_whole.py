@@ -7,7 +7,7 @@ from pathlib import Path
 import oracle
 
 from lodestone.functions.markup import elements
-from lodestone.llm import licenses
+from lodestone.llm import licenses, pii
 from lodestone.llm.licence_digests import DIGESTS
 from lodestone.llm.licence_texts import LICENCES
 from lodestone.plans import catalogue
@@ -68,3 +68,15 @@ def test_licences_on_one_line_and_full(spark):
     assert got[3]["license_id"].startswith("MIT (notice") and got[3]["notices"] == [got[3]["license_id"]]
     assert all(got[n]["license_id"] == names[p.name] for n, p in paths.items() if n in got)
     assert set(DIGESTS.values()) == set(names.values())
+
+
+def test_pseudonyms_beside_other_numbers():
+    cipher, card = pii.Cipher(b"k"), "4111 1111 1111 1111"
+    for text in (f"card {card} 12/25", f"{card} 123", f"12 {card}", f"1234 {card} 12", *(f"{card} {n:03d} x" for n in range(300))):
+        new, counts = pii.pseudonymise(text, cipher)
+        assert counts == {"card": 1} and new != text and (card not in new)
+        assert pii.pseudonymise(new, cipher, back=True) == (text, counts)
+    iban = "GB29 NWBK 6016 1331 9268 19"
+    for text in ("2020-05-13T10:00:00Z", "on 2020/05/13.", "2020/05/13T10:00", f"{iban} ABC", "DE89 3704 0044 0532 0130 00 12", "AT61 1904 3002 3457 3201 CARD"):
+        new, counts = pii.pseudonymise(text, cipher)
+        assert sum(counts.values()) == 1 and new != text and pii.pseudonymise(new, cipher, back=True)[0] == text
