@@ -100,7 +100,8 @@ def chosen_paths(nodes: DataFrame, threshold: float, recall: float) -> DataFrame
             deeper = again.select("node", "run", F.lit(depth + 1).alias("depth"))
             deep = deeper if deep is None else deep.unionByName(deeper)
             rows = again.join(nodes, "node").select("node", "run", F.xxhash64("path", token).alias("path"))
-        if first + len(runs) == RUNS:
+        last = first + len(runs) == RUNS
+        if last and RUNS * np.log(1 - threshold**DEPTH) <= np.log(1 - recall):  # met at every depth
             break
         # the logarithm of the chance that a run which a set ends at depth d misses a link: log(1 - threshold**d)
         flat = float(np.log(1 - threshold))
@@ -113,6 +114,8 @@ def chosen_paths(nodes: DataFrame, threshold: float, recall: float) -> DataFrame
         todo = cut(todo.where(F.col("miss") > float(np.log(1 - recall))))
         if todo.isEmpty():
             break
+        if last:
+            raise ValueError(f"{RUNS} runs miss more than {1 - recall:.2g} of the links at a similarity of {threshold}")
     return leaves
 
 

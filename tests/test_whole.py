@@ -5,9 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import oracle
+import pytest
 
 from lodestone.functions.markup import elements
-from lodestone.llm import licenses, pii
+from lodestone.llm import licenses, neardup, pii
 from lodestone.llm.licence_digests import DIGESTS
 from lodestone.llm.licence_texts import LICENCES
 from lodestone.plans import catalogue
@@ -80,3 +81,11 @@ def test_pseudonyms_beside_other_numbers():
     for text in ("2020-05-13T10:00:00Z", "on 2020/05/13.", "2020/05/13T10:00", f"{iban} ABC", "DE89 3704 0044 0532 0130 00 12", "AT61 1904 3002 3457 3201 CARD"):
         new, counts = pii.pseudonymise(text, cipher)
         assert sum(counts.values()) == 1 and new != text and pii.pseudonymise(new, cipher, back=True)[0] == text
+
+
+def test_jaccard_join_says_when_recall_is_not_met(spark):
+    rows = [(n, " ".join([f"w{k}" for k in range(300)] + [f"x{n}"])) for n in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.raises(ValueError, match="runs miss"):
+        neardup.jaccard_classes(docs, threshold=0.5).count()
+    assert neardup.jaccard_classes(docs).count() >= 150
