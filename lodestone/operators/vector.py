@@ -7,7 +7,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "dot", "l2")
@@ -28,12 +28,21 @@ def _scores(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
         return np.where(q * r > 0, dot / np.sqrt(q * r), 0.0)
 
 
-def batch_topk(children: DataFrame, queries: Iterable[tuple[int, Sequence[float]]], k: int, metric: str = "cosine", key: str = "id", vector: str = "embedding") -> DataFrame:
+def finite(vector: str | Column) -> Column:
+    """A vector that isn't null and has no null, NaN or infinite component."""
+    return F.coalesce(F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+
+
+def batch_topk(children: DataFrame, queries: DataFrame | Iterable[tuple[int, Sequence[float]]], k: int, metric: str = "cosine", key: str = "id", vector: str = "embedding") -> DataFrame:
     """Each query's k best rows: query_id, the key, score, rank; ties go to the smaller key.
 
-    Larger is better for every metric (l2 is the negative distance).  Rows without a vector, or of another dimension,
-    take no part.  Each partition gives k rows for each query at most, so the merge doesn't grow with the rows.  Queries
-    may come from an iterator: only one broadcast's worth of them is held at a time.  They are of one dimension.
+    Larger is better for every metric (l2 is the negative distance).  Rows without a vector, of another dimension, or
+    with a null, NaN or infinite component take no part; such a query has no result.  Each partition gives k rows for
+    each query at most, so the merge doesn't grow with the rows.
+
+    Queries are a frame (query id, vector) or pairs of these, of one dimension.  They are read one broadcast's worth
+    (QUERY_CELLS numbers) at a time and each such group scans the rows once: a group holds thousands of queries, whose
+    scores cost far more than the scan.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
@@ -41,7 +50,10 @@ def batch_topk(children: DataFrame, queries: Iterable[tuple[int, Sequence[float]
     schema = f"query_id long, {key} {key_type}, score double"
     spark = children.sparkSession
     found = None
-    queries = iter(queries)
+    if isinstance(queries, DataFrame):
+        asked, asked_vector = queries.columns
+        queries = (tuple(r) for r in queries.where(F.col(asked).isNotNull() & finite(asked_vector)).toLocalIterator())
+    queries = (q for q in queries if np.isfinite(np.array(q[1], float)).all())
     first = next(queries, None)
     step = max(1, QUERY_CELLS // max(1, len(first[1]))) if first else 1
     queries = chain([first] if first else [], queries)
@@ -71,7 +83,7 @@ def batch_topk(children: DataFrame, queries: Iterable[tuple[int, Sequence[float]
 
         pa_type = pa.int64() if key_type == "bigint" else pa.int32() if key_type == "int" else pa.string()
         dimension = len(part[0][1])
-        near = children.where(F.col(vector).isNotNull() & (F.size(vector) == dimension)).select(key, vector).mapInArrow(work, schema)
+        near = children.where(finite(vector) & (F.size(vector) == dimension)).select(key, vector).mapInArrow(work, schema)
         found = near if found is None else found.unionByName(near)
     if found is None:
         return spark.createDataFrame([], schema + ", rank int")
