@@ -6,10 +6,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import stable_id, trim
+from lodestone.functions.text import stable_id, trim, utf16_length
 from lodestone.sources.layout import spread
 
 #: Passage size and overlap in UTF-16 units, and separators from coarse to fine.
@@ -91,23 +91,34 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
 def child_chunks(parents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Children of parents (id, document_id, text, start_page): id, document_id, parent_id, index, text, page_number.
 
-    The index restarts in each parent; a blank passage is left out, but its index is used up.
+    The index restarts in each parent; a blank passage is left out, but its index is used up.  A text within the size is
+    its own passage; only longer ones go to Python.
     """
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap) if t else [])
+        return texts.map(lambda t: split_text(t, size, overlap) if t else None)
 
-    passages = spread(parents).select(F.col("id").alias("parent_id"), "document_id", "start_page", split("text").alias("passages"))
+    short = utf16_length(F.col("text")) <= size
+    found = F.when(short, F.array(F.col("text"))).otherwise(split(F.when(~short, F.col("text"))))
+    passages = spread(parents).select(F.col("id").alias("parent_id"), "document_id", "start_page", found.alias("passages"))
     rows = passages.select("parent_id", "document_id", "start_page", F.posexplode("passages").alias("index", "passage")).withColumn("text", trim("passage")).where("text <> ''")
     return rows.select(stable_id(F.col("parent_id"), F.col("index"), F.sha2("text", 256)).alias("id"), "document_id", "parent_id", "index", "text", F.col("start_page").alias("page_number"))
 
 
 def ingest_counts(parsed: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
-    """(document_id, pages, parent_count, child_count); a document without text, parents or children has an error."""
+    """(document_id, pages, parent_count, child_count, error): a document without text, parents or children has an error,
+    as has one that its parser couldn't read (its ``error``, if parsed rows have that column)."""
     p = parents.groupBy("document_id").agg(F.count(F.lit(1)).alias("parent_count"))
     c = children.groupBy("document_id").agg(F.count(F.lit(1)).alias("child_count"))
-    rows = parsed.select(F.col("doc_id").alias("document_id"), F.size("pages").alias("pages"), (trim(F.coalesce("text", F.lit(""))) == "").alias("no_text"))
+    unread = F.col("error") if "error" in parsed.columns else F.lit(None).cast("string")
+    rows = parsed.select(F.col("doc_id").alias("document_id"), F.coalesce(F.size("pages"), F.lit(0)).alias("pages"), (trim(F.coalesce("text", F.lit(""))) == "").alias("no_text"), unread.alias("unread"))
     rows = rows.join(p, "document_id", "left").join(c, "document_id", "left").fillna(0, ["parent_count", "child_count"])
-    error = F.when(F.col("no_text"), "no text").when(F.col("parent_count") == 0, "no parents").when(F.col("child_count") == 0, "no children")
+    error = F.coalesce("unread", F.when(F.col("no_text"), "no text").when(F.col("parent_count") == 0, "no parents").when(F.col("child_count") == 0, "no children"))
     return rows.select("document_id", "pages", "parent_count", "child_count", error.alias("error"))
+
+
+def ingest_meta(counts: DataFrame, started: Column, ended: Column, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Counts with what is told of an ingest: child_chunk_size, child_chunk_overlap, processing_ms between two instants."""
+    elapsed = F.unix_millis(ended) - F.unix_millis(started)
+    return counts.withColumns({"child_chunk_size": F.lit(size), "child_chunk_overlap": F.lit(overlap), "processing_ms": elapsed})

@@ -29,23 +29,37 @@ def marked_content(parsed: DataFrame, by_page: bool = False) -> DataFrame:
 
 
 def nodes_with_text(parsed: DataFrame) -> DataFrame:
-    """(doc_id, seq, depth, level, heading, text, page): page is that of the first id with one, null without."""
-    nodes = parsed.select("doc_id", F.explode("nodes").alias("node")).select("doc_id", "node.*")
-    ids = nodes.select("doc_id", "seq", F.posexplode("mcids").alias("at", "mcid"))
-    joined = ids.join(marked_content(parsed), ["doc_id", "mcid"])
-    ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
-    pieces = joined.groupBy("doc_id", "seq").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("pieces"), F.min_by("page", F.when(F.col("page") != 0, F.col("at"))).alias("page"))
-    whole = nodes.join(pieces, ["doc_id", "seq"], "left")
+    """(doc_id, seq, depth, level, heading, text, page): page is that of the first id with one, null without.
+
+    Text items, references to them and the nodes themselves go in one list, which is exploded and dealt by document
+    once: what meets by marked-content id, then by node, then in the windows of ``section_parents`` stays in its task.
+    """
+    kind = "struct<mcid:bigint,p:int,i:int,page:int,text:string,seq:int,at:int,depth:int,type:string,actual_text:string>"
+    entry = lambda **values: F.struct(*[values.get(f.split(":")[0], F.lit(None).cast(f.split(":")[1])).cast(f.split(":")[1]).alias(f.split(":")[0]) for f in kind[7:-1].split(",")])
+    none = F.array().cast(f"array<{kind}>")
+    listed = lambda column, make: F.coalesce(F.transform(column, make), none)
+    items = F.flatten(F.coalesce(F.transform("pages", lambda page, p: listed(page["text_items"], lambda x, i: entry(mcid=x["mcid"], p=p, i=i, page=F.coalesce(page["page_num"], F.lit(1)), text=x["text"]))), F.array(none)))
+    references = F.flatten(F.coalesce(F.transform("nodes", lambda n: listed(n["mcids"], lambda m, at: entry(mcid=m, seq=n["seq"], at=at))), F.array(none)))
+    nodes = listed("nodes", lambda n: entry(seq=n["seq"], at=F.lit(-1), depth=F.coalesce(n["depth"], F.lit(0)), type=n["type"], actual_text=n["actual_text"]))
+    rows = parsed.select("doc_id", F.explode(F.concat(items, F.filter(references, lambda r: r["mcid"].isNotNull()), nodes)).alias("e")).select("doc_id", "e.*")
+    rows = rows.where("seq IS NOT NULL OR (mcid IS NOT NULL AND text <> '')").repartition("doc_id")
+    item = F.when(F.col("seq").isNull(), F.struct("p", "i", "text", "page"))
+    asked = F.when(F.col("seq").isNotNull(), F.struct("seq", "at", "depth", "type", "actual_text"))
+    by_id = rows.groupBy("doc_id", "mcid").agg(F.array_sort(F.collect_list(item)).alias("items"), F.collect_list(asked).alias("asked"))
+    found = by_id.select("doc_id", F.explode("asked").alias("n"), F.array_join(F.col("items.text"), " ").alias("piece"), F.try_element_at("items", F.lit(1))["page"].alias("page"))
+    ordered = F.array_sort(F.collect_list(F.when((F.col("n.at") >= 0) & (F.col("piece") != ""), F.struct("n.at", "piece"))))
+    first = F.min_by("page", F.when(F.col("page") != 0, F.col("n.at")))
+    whole = found.groupBy("doc_id", F.col("n.seq").alias("seq")).agg(F.max("n.depth").alias("depth"), F.max("n.type").alias("type"), F.max("n.actual_text").alias("actual_text"), F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias("pieces"), first.alias("page"))
     text = trim(collapse(F.concat_ws(" ", F.nullif("actual_text", F.lit("")), F.nullif("pieces", F.lit("")))))
     level = F.nullif(F.regexp_extract(F.upper(F.coalesce("type", F.lit(""))), "^H([1-6])$", 1), F.lit("")).cast("int")
-    return whole.select("doc_id", "seq", F.coalesce("depth", F.lit(0)).alias("depth"), level.alias("level"), trim(collapse(F.coalesce("actual_text", text))).alias("heading"), text.alias("text"), F.nullif("page", F.lit(0)).alias("page"))
+    return whole.select("doc_id", "seq", "depth", level.alias("level"), trim(collapse(F.coalesce("actual_text", text))).alias("heading"), text.alias("text"), "page")
 
 
 def _parent_columns(index: Column, text: Column, start: Column, end: Column) -> list[Column]:
     return [stable_id(F.col("doc_id"), index, content_hash(text)).alias("id"), F.col("doc_id").alias("document_id"), index.cast("int").alias("index"), text.alias("text"), content_hash(text).alias("content_hash"), start.cast("int").alias("start_page"), end.cast("int").alias("end_page")]
 
 
-def section_parents(parsed: DataFrame) -> DataFrame:
+def section_parents(parsed: DataFrame, with_path: bool = False) -> DataFrame:
     """Sections that begin at a heading of level 1, or at a document's first heading of any level.
 
     What stands before the first heading is left out, as is the starting heading's own text; deeper headings stand in
@@ -54,6 +68,9 @@ def section_parents(parsed: DataFrame) -> DataFrame:
     Pages: a section starts on its heading's page; without one, on page 1 at the root, else where the section before
     ended.  So starts with a page of their own or at the root open an island, and a running maximum inside it gives the
     others.  It ends on the last page that its start or its texts name.
+
+    ``with_path`` adds section_path: the starting heading, and after it the last heading of each level inside; a heading
+    of level n ends the path at n - 1, and skipped levels aren't filled in.
     """
     in_doc = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = nodes_with_text(parsed).withColumn("headings", F.count("level").over(in_doc))
@@ -66,9 +83,11 @@ def section_parents(parsed: DataFrame) -> DataFrame:
     rows = rows.withColumn("reached", F.max("own_page").over(in_island))
     block = F.when(F.col("starts"), None).when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "heading")).otherwise(F.nullif("text", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.when(block.isNotNull(), F.struct("seq", block.alias("block")))))
-    made = rows.groupBy("doc_id", "parent_no").agg(trim(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n")).alias("text"), F.max(F.when(F.col("starts"), F.col("reached"))).alias("start"), F.max("reached").alias("end"))
+    headings = F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("seq", F.when(F.col("starts"), 1).otherwise(F.col("level")).alias("level"), "heading"))))
+    path = F.aggregate(headings, F.array().cast("array<string>"), lambda held, h: F.concat(F.slice(held, F.lit(1), h["level"] - 1), F.array(h["heading"])))
+    made = rows.groupBy("doc_id", "parent_no").agg(trim(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n")).alias("text"), F.max(F.when(F.col("starts"), F.col("reached"))).alias("start"), F.max("reached").alias("end"), *([path.alias("section_path")] if with_path else []))
     made = made.where("text <> ''").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("parent_no")) - 1)
-    return made.select(*_parent_columns(F.col("n"), F.col("text"), F.col("start"), F.col("end")))
+    return made.select(*_parent_columns(F.col("n"), F.col("text"), F.col("start"), F.col("end")), *(["section_path"] if with_path else []))
 
 
 def fallback_parents(parsed: DataFrame) -> DataFrame:
@@ -81,5 +100,5 @@ def fallback_parents(parsed: DataFrame) -> DataFrame:
 
 def logical_parents(parsed: DataFrame) -> DataFrame:
     """Sections, and pages for the documents that have none."""
-    found = section_parents(parsed)
-    return found.unionByName(fallback_parents(parsed).join(found.select("document_id"), "document_id", "left_anti"))
+    both = section_parents(parsed).withColumn("section", F.lit(True)).unionByName(fallback_parents(parsed).withColumn("section", F.lit(False)))
+    return both.withColumn("any", F.max("section").over(Window.partitionBy("document_id"))).where(F.col("section") == F.col("any")).drop("section", "any")
