@@ -41,9 +41,22 @@ def present(text: Column) -> Column:
     return text.isNotNull() & (text != "")
 
 
+def prefix(text: Column, units: int) -> Column:
+    """The first characters that take at most so many UTF-16 units; a surrogate pair isn't cut in two."""
+    first = F.substring(text, 1, units)
+    wide = F.regexp_count(first, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    last = F.aggregate(
+        F.split(first, ""),
+        F.struct(F.lit("").alias("text"), F.lit(0).alias("used")),
+        lambda s, c: F.struct(F.when(s["used"] + utf16_length(c) <= units, F.concat(s["text"], c)).otherwise(s["text"]).alias("text"), (s["used"] + utf16_length(c)).alias("used")),
+        lambda s: s["text"],
+    )
+    return F.when(wide == 0, first).otherwise(last)
+
+
 def title(text: Column, default: str = "New chat") -> Column:
-    """The first 40 characters, trimmed, or the default."""
-    return or_default(trim(F.substring(text, 1, 40)), F.lit(default))
+    """Of the trimmed text the first 40 UTF-16 units, trimmed again, or the default."""
+    return or_default(trim(prefix(trim(text), 40)), F.lit(default))
 
 
 def not_equal(column: Column, value) -> Column:

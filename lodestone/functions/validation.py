@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import trim
 
-#: The domains of the schema, and the form of an e-mail address.
+#: The domains of the schema, the form of an e-mail address and, below, the messages that callers get.
 ROLES = ("user", "editor", "admin")
 DOCUMENT_STATUS = ("uploaded", "processing", "completed", "failed", "deleted")
 SESSION_STATUS = ("active", "archived")
@@ -24,6 +24,11 @@ def blank(column: Column) -> Column:
     return F.coalesce(F.length(trim(column)) == 0, F.lit(True))
 
 
+def object_id(column: Column) -> Column:
+    """Whether a key has the form of an object id."""
+    return F.coalesce(column.cast("string").rlike(OBJECT_ID), F.lit(False))
+
+
 def user_error(name: Column, mail: Column, password: Column, role: Column) -> Column:
     """Of a new user: name, then e-mail, then password, then role."""
     return (

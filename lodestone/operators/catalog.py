@@ -5,13 +5,22 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import validation as V
 from lodestone.functions.text import not_equal, trim
 
 
+#: What callers are told.
+TAKEN = "User with this email already exists."
+UNKNOWN = "User not found."
+#: A batch has one update for a user.
+REPEATED = "Another update of this user comes first."
+
+
 def clamp(page=None, limit=None) -> tuple[int, int]:
     """Page from 1, limit from 1 to 100; what is missing, zero or no number gives 1 and 20."""
 
@@ -39,11 +48,19 @@ def pagination(df: DataFrame, page=None, limit=None) -> DataFrame:
 
 
 def search(df: DataFrame, text: str | None, columns: Sequence[str], literal: bool = False) -> DataFrame:
-    """Rows where any of the columns matches, without regard to case in any script; an empty text takes all rows."""
+    """Rows where any of the columns matches, without regard to case in any script; an empty text takes all rows.
+
+    A text that is no valid pattern is refused here, before a job starts.
+    """
     text = (text or "").strip()
     if not text:
         return df
-    pattern = f"(?iu){chr(92)}Q{text.replace(chr(92) + 'E', chr(92) + 'E' + chr(92) * 2 + 'E' + chr(92) + 'Q')}{chr(92)}E" if literal else f"(?iu){text}"
+    quoted = text.replace(r"\E", r"\E\\E\Q")  # a quotation ends at \E, so that one is put outside
+    pattern = rf"(?iu)\Q{quoted}\E" if literal else f"(?iu){text}"
+    try:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException) as error:
+        raise ValueError(f"not a pattern: {text}") from error
     hit = F.lit(False)
     for c in columns:
         hit = hit | F.coalesce(F.col(c).rlike(pattern), F.lit(False))
@@ -104,20 +121,30 @@ def create_users(existing: DataFrame, new: DataFrame, now: Column) -> tuple[Data
     first = good.groupBy("email").agg(F.min("id").alias("first_id"))
     taken = existing.select(F.col("email").alias("held")).distinct()
     marked = good.join(first, "email").join(taken, F.col("email") == F.col("held"), "left")
-    marked = marked.withColumn("error", F.when(F.col("held").isNotNull() | (F.col("id") != F.col("first_id")), "User with this email already exists."))
+    marked = marked.withColumn("error", F.when(F.col("held").isNotNull() | (F.col("id") != F.col("first_id")), TAKEN))
     accepted = marked.where("error IS NULL").select("id", "name", "email", F.sha2("plain", 256).alias("password"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("is_active", F.lit(True)).alias("is_active"), now.alias("created_at"), now.alias("updated_at"))
     rejected = rows.where("error IS NOT NULL").select("id", "email", "error").unionByName(marked.where("error IS NOT NULL").select("id", "email", "error"))
     return accepted, rejected
 
 
 def update_users(users: DataFrame, patches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(all users after the updates, rejected patches with their error); null fields of a patch stay as they are."""
-    rows = patches.select("id", trim("name").alias("p_name"), F.when(F.col("email").isNotNull(), V.email(F.col("email"))).alias("p_email"), F.sha2("password", 256).alias("p_password"), F.col("role").alias("p_role"), F.col("is_active").alias("p_active"), V.patch_error(F.col("name"), F.col("email"), F.col("password"), F.col("role")).alias("error"))
+    """(all users after the updates, rejected patches with their error); null fields of a patch stay as they are.
+
+    Of patches with one id, the smallest in the order of their fields counts, and equal ones are one; of patches that
+    give one e-mail, that of the smallest id.  An e-mail that any user holds before the updates is taken.
+    """
+    rows = patches.distinct().select("id", trim("name").alias("p_name"), F.when(F.col("email").isNotNull(), V.email(F.col("email"))).alias("p_email"), F.sha2("password", 256).alias("p_password"), F.col("role").alias("p_role"), F.col("is_active").alias("p_active"), V.patch_error(F.col("name"), F.col("email"), F.col("password"), F.col("role")).alias("error"))
+    whole = [F.col(c).asc_nulls_last() for c in ("error", "p_email", "p_name", "p_password", "p_role", "p_active")]
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.col("error").isNotNull(), *whole)))
+    rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("nth") > 1, REPEATED)))
+    valid = F.when(F.col("error").isNull(), F.col("id"))
+    first = rows.where("p_email IS NOT NULL").groupBy(F.col("p_email").alias("first_email")).agg(F.min(valid).alias("first_id"))
     known = users.select(F.col("id").alias("known_id"))
     held = users.select(F.col("email").alias("held"), F.col("id").alias("held_id"))
     clash = rows.join(held, (F.col("p_email") == F.col("held")) & (F.col("id") != F.col("held_id")), "left_semi").select(F.col("id").alias("clash_id")).distinct()
     marked = rows.join(known, F.col("id") == F.col("known_id"), "left").join(clash, F.col("id") == F.col("clash_id"), "left")
-    error = F.coalesce("error", F.when(F.col("clash_id").isNotNull(), "User with this email already exists."), F.when(F.col("known_id").isNull(), "User not found."))
+    marked = marked.join(first, F.col("p_email") == F.col("first_email"), "left")
+    error = F.coalesce("error", F.when(F.col("clash_id").isNotNull() | (F.col("id") != F.col("first_id")), TAKEN), F.when(F.col("known_id").isNull(), UNKNOWN))
     marked = marked.withColumn("error", error)
     good = marked.where("error IS NULL").select(F.col("id").alias("p_id"), "p_name", "p_email", "p_password", "p_role", "p_active")
     joined = users.join(good, users["id"] == good["p_id"], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import stable_id
+
 STATES = ("unchanged", "reposition", "changed", "removed")
 
 
@@ -30,17 +32,21 @@ def counters(classified: DataFrame) -> DataFrame:
     return classified.groupBy("document_id").agg(count("unchanged", "reposition", "changed").alias("parents_total"), count("unchanged", "reposition").alias("parents_unchanged"), count("changed").alias("parents_changed_or_added"), count("removed").alias("parents_removed"))
 
 
-def apply(classified: DataFrame, old: DataFrame) -> DataFrame:
+def apply(classified: DataFrame) -> DataFrame:
     """The stored sections after the match: removed ones gone, moved ones in their new place, new ones added.
 
-    What stays keeps its id, and so its children.
+    What stays keeps its id, and so its children; its text is the new one's, as their hashes are equal.  A new section's
+    id is made of its content, its place and the ids that the document had before, so it differs from all of these, even
+    where a section of the same content once was in this place and has moved since.
     """
-    from lodestone.functions.text import stable_id
-
-    kept = classified.where(F.col("state").isin("unchanged", "reposition")).select(F.col("old_id").alias("id"), F.col("new_place").alias("place"))
-    moved = old.join(kept, "id").select("id", "document_id", F.col("place.index").alias("index"), "text", "content_hash", F.col("place.start_page").alias("start_page"), F.col("place.end_page").alias("end_page"))
-    fresh = classified.where("state = 'changed'").select(stable_id(F.col("document_id"), F.col("new_place.index"), F.col("content_hash")).alias("id"), "document_id", F.col("new_place.index").alias("index"), F.col("new_text").alias("text"), "content_hash", F.col("new_place.start_page").alias("start_page"), F.col("new_place.end_page").alias("end_page"))
-    return moved.withColumn("id", F.col("id").cast("string")).unionByName(fresh)
+    before = classified.groupBy("document_id").agg(F.count("old_id").alias("held"), F.sum(F.xxhash64("old_id").cast("decimal(20,0)")).alias("lineage"))
+    rows = classified.where("new_place IS NOT NULL").join(before, "document_id")
+    lineage = F.when(F.col("held") > 0, F.concat_ws("-", F.col("held").cast("string"), F.col("lineage").cast("string")))
+    fresh = F.when(F.col("held") > 0, stable_id(F.col("document_id"), F.col("new_place.index"), F.col("content_hash"), lineage)).otherwise(stable_id(F.col("document_id"), F.col("new_place.index"), F.col("content_hash")))
+    return rows.select(
+        F.coalesce(F.col("old_id").cast("string"), fresh).alias("id"), "document_id", F.col("new_place.index").alias("index"), F.col("new_text").alias("text"), "content_hash",
+        F.col("new_place.start_page").alias("start_page"), F.col("new_place.end_page").alias("end_page"),
+    )
 
 
 def surviving_children(classified: DataFrame, children: DataFrame) -> DataFrame:

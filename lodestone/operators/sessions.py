@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import title, trim
@@ -31,6 +33,46 @@ def list_sessions(sessions: DataFrame, owner) -> DataFrame:
     return sessions.where(F.col("user_id") == F.lit(owner)).orderBy(F.desc("updated_at"), "session_id")
 
 
+def create_session(sessions: DataFrame, users: DataFrame, owner, now, first_title: str = "New chat") -> tuple[DataFrame, str]:
+    """(all sessions, the new one's id) of a user, who must exist."""
+    if users.where(F.col("id") == F.lit(owner)).isEmpty():
+        raise LookupError("user not found")
+    return _opened(sessions, owner, "", first_title, now)
+
+
+def _opened(sessions: DataFrame, owner, asked: str, first_title: str, now) -> tuple[DataFrame, str]:
+    spark, stamp = sessions.sparkSession, F.lit(now).cast("timestamp")
+    held = owned_count(sessions, owner)
+    key = sha256("\x01".join(map(str, (owner, asked, held, now))).encode()).hexdigest()
+    values = {"session_id": F.lit(key), "user_id": F.lit(owner), "title": F.lit(first_title.strip() or "New chat"), "status": F.lit("active"), "last_message_at": stamp, "created_at": stamp, "updated_at": stamp}
+    row = spark.range(1).select(*[values.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in sessions.dtypes])
+    return sessions.unionByName(row), key
+
+
+def owned_count(sessions: DataFrame, owner) -> int:
+    return sessions.where(F.col("user_id") == F.lit(owner)).count()
+
+
+def get_session(sessions: DataFrame, key: str, owner) -> DataFrame:
+    """A user's own session, one row or none."""
+    return sessions.where((F.col("session_id") == F.lit(key)) & (F.col("user_id") == F.lit(owner))).limit(1)
+
+
+def find_or_create(sessions: DataFrame, owner, key: str | None, text: str, now) -> tuple[DataFrame, str]:
+    """(all sessions, the id reached): an unknown or foreign id, or none, opens a session titled by the message."""
+    if key and not get_session(sessions, key, owner).isEmpty():
+        return sessions, key
+    first = sessions.sparkSession.range(1).select(title(F.lit(text)).alias("title")).first()["title"]
+    return _opened(sessions, owner, key or "", first, now)
+
+
+def touched(sessions: DataFrame, key: str, now, new_title: str | None = None) -> DataFrame:
+    """The session with a message at ``now``, and a new title where one is given."""
+    hit, stamp = F.col("session_id") == F.lit(key), F.lit(now).cast("timestamp")
+    values = {"last_message_at": stamp, "updated_at": stamp} | ({"title": F.lit(new_title)} if new_title else {})
+    return sessions.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
     """All messages after new ones (session_id, role, content, created_at, order) are put at the ends of their sessions.
 
@@ -52,6 +94,11 @@ def prompts(messages: DataFrame, context: Column, n: int = HISTORY, session: str
     return tail.groupBy(F.col(session).alias("session_id")).agg(history.alias("history")).select("session_id", F.concat(first, "history").alias("contents"))
 
 
+def load_template(spark: SparkSession, path: str) -> str:
+    """A template's text, from any store that Spark reads."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def system_prompt(template: str, today: str, mark: str = "{{TODAY_IST}}") -> str:
     """The first mark in the template gives way to the date."""
     return template.replace(mark, today, 1)

@@ -15,6 +15,7 @@ from lodestone.functions import markup
 from lodestone.functions import text as T
 from lodestone.functions import validation as V
 from lodestone.operators import catalog, chunking, diff, retrieve, sections, sessions, vector
+from lodestone.plans import service
 from lodestone.sources import adapters, store
 from lodestone.sources.layout import spread
 from lodestone.streaming import ingest
@@ -91,8 +92,7 @@ def _metric_all(metric: str, sql: str):
 
     def run(spark, sf_dir):
         children = _children(spark, sf_dir)
-        queries = ((r["id"], r["embedding"]) for r in children.where("id % 50 = 0 AND embedding IS NOT NULL").select("id", "embedding").toLocalIterator())
-        return vector.batch_topk(children, queries, 5, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+        return vector.batch_topk(children, children.where("id % 50 = 0").select("id", "embedding"), 5, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
     run.__name__ = "vector_topk_batch_all" if metric == "cosine" else f"vector_topk_{metric}_all"
     return _query(f"""
@@ -297,7 +297,17 @@ def diff_counters(spark, sf_dir):
 @_query(f"WITH {_VERSIONS} SELECT document_id, content_hash, idx AS \"index\" FROM n")
 def diff_apply(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
-    return diff.apply(diff.classify(old, new), old).select("document_id", "content_hash", "index")
+    return diff.apply(diff.classify(old, new)).select("document_id", "content_hash", "index")
+
+
+@_query("SELECT source AS document_id, count(*) AS sections, count(*) AS ids, count(DISTINCT sha256(text)) AS contents FROM documents WHERE doc_id % 3 < 2 GROUP BY source")
+def diff_reapply(spark, sf_dir):
+    """A file's versions one, two, two reversed and one again: as many ids as sections at the end, though contents came back."""
+    old, new = _versions(spark, sf_dir)
+    state = old
+    for version in (new, new.withColumn("index", -F.col("index")), old.drop("id")):
+        state = diff.apply(diff.classify(state, version))
+    return state.groupBy("document_id").agg(F.count(F.lit(1)).alias("sections"), F.countDistinct("id").alias("ids"), F.countDistinct("content_hash").alias("contents"))
 
 
 @_query(f"WITH {_VERSIONS} SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT old_id FROM d WHERE state = 'removed')")
@@ -383,6 +393,34 @@ def marked_content(spark, sf_dir):
     return sections.marked_content(_talks(spark, sf_dir))
 
 
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as parsed documents with structure: a node for each turn, of every level and at two depths, some without a page."""
+    rows = _table(spark, sf_dir, "conversations").where("turn IS NOT NULL").select("conv_id", "turn", "role", "text")
+    kind = F.when(F.col("role") == "assistant", "P").otherwise(F.concat(F.lit("h"), (F.col("turn") % 4 + 1).cast("string")))
+    node = F.struct(F.col("turn").cast("int").alias("seq"), (F.col("turn") % 2).cast("int").alias("depth"), kind.alias("type"), F.lit(None).cast("string").alias("actual_text"), F.array(F.col("turn").cast("long")).alias("mcids"))
+    item = F.struct(F.col("turn").cast("long").alias("mcid"), F.col("text"))
+    page = F.struct("turn", F.struct(F.when(F.col("turn") % 3 == 2, 0).otherwise(F.col("turn") + 1).cast("int").alias("page_num"), F.lit("").alias("text"), F.array(item).alias("text_items")).alias("page"))
+    pages = F.transform(F.array_sort(F.collect_list(page)), lambda p: p["page"])
+    return rows.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(pages.alias("pages"), F.array_sort(F.collect_list(node)).alias("nodes")).select("doc_id", F.lit("").alias("text"), "pages", "nodes")
+
+
+@_query(f"""
+WITH n AS (SELECT conv_id, turn AS seq, turn % 2 AS depth, CASE WHEN role = 'assistant' THEN NULL ELSE turn % 4 + 1 END AS level, CASE WHEN turn % 3 = 2 OR text IS NULL OR text = '' THEN NULL ELSE turn + 1 END AS page,
+             regexp_replace(regexp_replace(coalesce(text, ''), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM conversations WHERE turn IS NOT NULL),
+s AS (SELECT *, level IS NOT NULL AND (level = 1 OR count(level) OVER (PARTITION BY conv_id ORDER BY seq) = 1) AS starts FROM n),
+p AS (SELECT *, sum(starts::INT) OVER (PARTITION BY conv_id ORDER BY seq) AS parent_no FROM s),
+a AS (SELECT *, coalesce(page, CASE WHEN depth = 0 OR parent_no = 1 THEN 1 END) AS anchor FROM p WHERE parent_no > 0),
+i AS (SELECT *, CASE WHEN starts THEN anchor WHEN level IS NULL AND text <> '' THEN page END AS own, sum((starts AND anchor IS NOT NULL)::INT) OVER (PARTITION BY conv_id ORDER BY seq) AS island FROM a),
+r AS (SELECT *, max(own) OVER (PARTITION BY conv_id, island ORDER BY seq) AS reached FROM i),
+g AS (SELECT conv_id, parent_no, regexp_replace(string_agg(CASE WHEN level IS NULL THEN text ELSE repeat('#', CAST(level AS INT)) || ' ' || text END, chr(10) || chr(10) ORDER BY seq) FILTER (NOT starts AND (level IS NOT NULL OR text <> '')), '{_SPACE}+$', '') AS text,
+             max(reached) FILTER (starts) AS start_page, max(reached) AS end_page FROM r GROUP BY ALL)
+SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY parent_no) - 1 AS INT) AS "index", text, sha256(text) AS content_hash,
+       CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page FROM g WHERE text <> ''""")
+def section_tree(spark, sf_dir):
+    """Sections of documents with deeper headings, nested nodes and missing pages."""
+    return sections.section_parents(_trees(spark, sf_dir)).drop("id")
+
+
 @_query(f"""SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(place AS INT) AS "index", text, sha256(text) AS content_hash, CAST(turn + 1 AS INT) AS start_page, CAST(turn + 1 AS INT) AS end_page
 FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM conversations)
 WHERE role <> 'system' AND text <> ''""")
@@ -409,6 +447,28 @@ def chunk_invariants(spark, sf_dir):
     return marks.unpivot([], ["blank", "not in parent", "repeated index", "too long"], "rule", "violations")
 
 
+_TURNS = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role <> 'system' AND trim(text) <> ''"
+
+
+@_query(f"""
+WITH t AS ({_TURNS}), c AS (SELECT conv_id, count(*) AS parts FROM t GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS id,
+       CASE WHEN conv_id % 5 = 0 THEN 'deleted' WHEN conv_id % 3 = 0 THEN 'failed' WHEN conv_id % 3 = 1 THEN CASE WHEN parts > 1 THEN 'completed' ELSE 'failed' END ELSE 'uploaded' END AS status,
+       parts - CASE WHEN conv_id % 5 <> 0 AND conv_id % 3 = 1 AND parts > 1 THEN 1 ELSE 0 END AS parent_count
+FROM c""")
+def reprocess_failed(spark, sf_dir):
+    """Documents of which a third is parsed again without text, and a third without the first page: only these lose a section."""
+    talks = _talks(spark, sf_dir)
+    parents = sections.logical_parents(talks)
+    documents = parents.select(F.col("document_id").alias("id")).distinct().withColumn("status", F.when(F.col("id") % 5 == 0, "deleted").otherwise("uploaded"))
+    corpus = service.Corpus(documents, parents, chunking.child_chunks(parents))
+    pages = F.filter("pages", lambda p: T.trim(p["text"]) != "")
+    again = talks.where("doc_id % 3 < 2").withColumn("pages", F.when(F.col("doc_id") % 3 == 1, F.slice(pages, F.lit(2), F.greatest(F.size(pages) - 1, F.lit(0)))))
+    again = again.withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.array_join(F.col("pages.text"), " ")))
+    after, _ = service.reprocess(corpus, again)
+    return catalog.with_count(after.documents, "id", after.parents, "document_id")
+
+
 # sessions
 
 
@@ -434,7 +494,7 @@ def session_list(spark, sf_dir):
     return sessions.list_sessions(rows, 1)
 
 
-@_query(f"""SELECT conv_id AS session_id, coalesce(nullif(regexp_replace(substr(arg_min(text, turn) FILTER (role = 'user'), 1, 40), '^{_SPACE}+|{_SPACE}+$', '', 'g'), ''), 'New chat') AS title
+@_query(f"""SELECT conv_id AS session_id, coalesce(nullif(regexp_replace(substr(regexp_replace(arg_min(text, turn) FILTER (role = 'user'), '^{_SPACE}+|{_SPACE}+$', '', 'g'), 1, 40), '^{_SPACE}+|{_SPACE}+$', '', 'g'), ''), 'New chat') AS title
 FROM conversations GROUP BY conv_id""")
 def session_title(spark, sf_dir):
     return sessions.session_view(_messages(spark, sf_dir).withColumn("created_at", F.lit(None).cast("timestamp"))).select("session_id", "title")

@@ -24,7 +24,10 @@ RETRYABLE = frozenset((429, 500, 502, 503, 504))
 
 @dataclass(frozen=True)
 class Settings:
-    """What the environment configures."""
+    """What the environment configures.
+
+    ``index_name`` and ``candidates`` are for an index outside; the exact search of ``vector`` needs neither.
+    """
 
     dimensions: int = 768
     batch_size: int = 20
@@ -96,23 +99,23 @@ def embed_texts(texts: Sequence[str], embedder: Embedder, settings: Settings = S
         return []
     vectors = with_retry(lambda: embedder(list(texts)), settings)
     if len(vectors) != len(texts):
-        raise ValueError(f"Embedding count mismatch. Expected {len(texts)}, received {len(vectors)}.")
+        raise ValueError(f"vector count {len(vectors)} for a text count of {len(texts)}")
     for v in vectors:
         if len(v) != settings.dimensions:
-            raise ValueError(f"Embedding dimension mismatch. Expected {settings.dimensions}, received {len(v)}.")
+            raise ValueError(f"vector dimension {len(v)} in place of {settings.dimensions}")
     return [list(map(float, v)) for v in vectors]
 
 
 def embed_query(text: str, embedder: Embedder, settings: Settings = Settings()) -> list[float]:
     if not text or not text.strip():
-        raise ValueError("Text is required.")
+        raise ValueError("a text is required")
     return embed_texts([text], embedder, settings)[0]
 
 
 def embed_children(children: DataFrame, embedder: Callable[[], Embedder], settings: Settings = Settings(), workers: int | None = None) -> DataFrame:
     """Children with their embedding, batch by batch; vectors stay on the row of their text, so nothing is zipped.
 
-    ``embedder`` makes one client for each Python worker; ``workers`` bounds how many call at a time.
+    ``embedder`` makes one client for each task; ``workers`` bounds how many call at a time.
     """
     kinds = children.schema
     rows = children.repartition(workers) if workers else children
@@ -191,14 +194,24 @@ def flatten_parsed(doc_id: str, parsed: dict) -> dict:
 
 
 def parse_files(files: DataFrame, parser: Callable[[], Parser]) -> DataFrame:
-    """Files (path, content) as parsed documents; ``parser`` makes one parser for each Python worker."""
+    """Files (path, content) as parsed documents, with an error column; ``parser`` makes one parser for each task.
+
+    A file that the parser can't read has its error and nothing else: ingest marks its document as failed, and the
+    others go on.
+    """
+
+    def read(parse: Parser, path: str, content: bytes) -> dict:
+        try:
+            return flatten_parsed(path, parse(content)) | {"error": None}
+        except Exception as error:  # whatever a parser raises
+            return {"doc_id": path, "text": None, "pages": None, "nodes": None, "error": f"{type(error).__name__}: {error}"}
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = parser()
         for frame in frames:
-            yield pd.DataFrame([flatten_parsed(path, parse(bytes(content))) for path, content in zip(frame["path"], frame["content"], strict=True)], columns=["doc_id", "text", "pages", "nodes"])
+            yield pd.DataFrame([read(parse, path, bytes(content)) for path, content in zip(frame["path"], frame["content"], strict=True)], columns=["doc_id", "text", "pages", "nodes", "error"])
 
-    return files.select("path", "content").mapInPandas(work, PARSED)
+    return files.select("path", "content").mapInPandas(work, PARSED + ", error string")
 
 
 def json_parser() -> Parser:

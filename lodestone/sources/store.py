@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def patch(df: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
-    """Rows with the patch's non-null fields in place of their own; patches of unknown keys do nothing."""
+    """Rows with the patch's non-null fields in place of their own; patches of unknown keys do nothing.
+
+    Of patches with one key, the one that is largest in the order of its fields counts, whole.
+    """
     fields = [c for c in patches.columns if c != key]
-    new = patches.select(F.col(key).alias("patch_key"), *[F.col(c).alias(f"patch_{c}") for c in fields])
+    one = patches.groupBy(F.col(key).alias("patch_key")).agg(F.max(F.struct(*fields)).alias("patch"))
+    new = one.select("patch_key", *[F.col(f"patch.{c}").alias(f"patch_{c}") for c in fields])
     joined = df.join(new, df[key] == new["patch_key"], "left")
     return joined.select(*[F.coalesce(F.col(f"patch_{c}"), df[c]).alias(c) if c in fields else df[c] for c in df.columns])
 

@@ -54,7 +54,7 @@ def test_diff_golden(spark):
     by_id = {r["old_id"]: r["state"] for r in found.where("old_id IS NOT NULL").collect()}
     assert by_id == {"o1": "unchanged", "o2": "reposition", "o3": "reposition", "o4": "removed"}
     assert diff.counters(found).first()[1:] == (5, 3, 2, 1)
-    after = diff.apply(found, old)
+    after = diff.apply(found)
     key = lambda df: sorted((r["index"], r["content_hash"], r["start_page"]) for r in df.collect())
     assert key(after) == key(new)
     assert {r["state"] for r in diff.classify(old, old.drop("id")).collect()} == {"unchanged"}
