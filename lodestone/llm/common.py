@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.sources.layout import spread
+from lodestone.sources.shared import discard, shared_folder, stored
+
+__all__ = ["arrow_map", "bounded_batches", "cut", "discard", "remainder", "shared_folder", "small", "stored", "table", "wide_table"]
 
 #: The white space that separates words: space, and tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -25,28 +29,23 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
+#: The same rows, written to the shared folder and read back.
+cut = stored
 
-    Only a session without one, such as a test on ``local[*]``, gets a folder of its own.
-    """
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+#: Bytes of an Arrow batch: what a task holds at once on either side of Python follows it, whatever rows weigh.
+BATCH_BYTES = 8 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared folder: a short lineage that outlives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of BATCH_BYTES; a session that has set its own bytes for a batch keeps them."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(work, schema)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as a Parquet table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def bounded_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def remainder(key: Column, n: int) -> Column:

@@ -8,19 +8,34 @@ import numpy as np
 import pyarrow as pa
 
 
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, int, int]]:
-    """(batch, from, to) of each group in a stream that is sorted by the keys; only an open group is carried on."""
-    held: pa.RecordBatch | None = None
+    """(batch, from, to) of each group in a stream that is sorted by the keys; an open group's batches are joined once."""
+    held: list[pa.RecordBatch] = []
+    last: list = []
     for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not batch.num_rows:
             continue
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        edges = [0, *new.tolist()]
+        edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()]
+        if held and last != [c[0] for c in columns]:
+            whole = _joined(held)
+            yield whole, 0, whole.num_rows
+            held = []
+        last = [c[-1] for c in columns]
+        if len(edges) == 1:
+            held.append(batch)
+            continue
+        if held:
+            whole = _joined([*held, batch.slice(0, edges[1])])
+            yield whole, 0, whole.num_rows
+            edges = edges[1:]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             yield batch, lo, hi
-        held = batch.slice(edges[-1])
-    if held is not None:
-        yield held, 0, held.num_rows
+        held = [batch.slice(edges[-1])]
+    if held:
+        whole = _joined(held)
+        yield whole, 0, whole.num_rows
