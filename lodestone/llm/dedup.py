@@ -46,9 +46,19 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", conte
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``exact_groups`` keeps; rows with a null key stay."""
-    dropped = exact_groups(docs, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, docs[key] == dropped["dropped_id"], "left_anti")
+    """One row of each text, white space aside, with all its columns; a null text counts as empty.
+
+    The row with the most code points in its original text stays, then that of the smallest key (null last), then that
+    of the smallest hash of all columns; rows that are equal in all of them are one row afterwards.  The decision is on
+    the row itself, so keys may be null, repeated, or shared by different texts.  Rows fold by hash and bytes before the
+    shuffle, so a group of any size sends one row from each input partition.
+    """
+    raw = F.coalesce(docs[text], F.lit(""))
+    bare = F.translate(raw, WHITE, "")
+    tie = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    preference = F.struct(F.length(raw), docs[key].isNotNull(), -docs[key].cast("decimal(19,0)"), tie)
+    rows = docs.select(F.md5(bare).alias("content"), bare.alias("bare"), preference.alias("preference"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.groupBy("content", "bare").agg(F.max_by("row", "preference").alias("row")).select("row.*")
 
 
 ORACLE = r"""
