@@ -10,6 +10,8 @@ from lodestone.llm.common import WORD, cut, small
 #: Bits of a row's hash that decide, and bits that one histogram resolves.
 HASH_BITS = 60
 LEVEL_BITS = 12
+#: Sources that one task puts in order; more are put in order by ranges.
+ONE_TASK = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -17,18 +19,33 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
     Sources, in code point order with null last, take the weights in turn.  No target exceeds ``cap`` times its
     source's size; the excess goes to the others by weight until none is above, which is the water level where
-    sum(min(cap * size, level * weight)) meets the budget.  One row per source; the windows run over sources, not rows.
+    sum(min(cap * size, level * weight)) meets the budget.  Only one row for each different ratio of size and weight
+    comes to one task, and only the level to the driver.
     """
-    ranked = sizes.withColumn("n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = cut(_ranked(sizes))
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("n") % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("full_at", F.col("most") / F.col("weight"))
-    order = Window.orderBy("full_at", "n")
-    everything = Window.partitionBy()
+    words = ranked.agg(F.sum("source_size")).first()[0] or 0
+    steps = ranked.groupBy("full_at").agg(F.sum("most").alias("most"), F.sum("weight").alias("weight"))
+    order = Window.orderBy("full_at")
     before = F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("most")
     weight_from = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    ranked = ranked.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(share)) - before) / weight_from)
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "n", "level"))).over(everything)["level"])
-    return ranked.select("source", "source_size", F.coalesce(F.least(F.col("level") * F.col("weight"), F.col("most")), F.col("most")).alias("target"))
+    steps = steps.select("full_at", ((F.lit(words * float(share)) - before) / weight_from).alias("level"))
+    level = steps.where("level <= full_at").agg(F.min_by("level", "full_at")).first()[0]
+    target = F.col("most") if level is None else F.least(F.lit(level) * F.col("weight"), F.col("most"))
+    return ranked.select("source", "source_size", target.alias("target"))
+
+
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Sources with their place n, from 0, in code point order with null last; of many sources no task sees all."""
+    last = F.col("source").asc_nulls_last()
+    if sizes.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return sizes.withColumn("n", F.row_number().over(Window.orderBy(last)) - 1)
+    ordered = cut(sizes.repartitionByRange(last).withColumn("part", F.spark_partition_id()))
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))  # one row per partition
+    before = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(last)) - 1
+    return ordered.withColumn("place", place).join(before, "part").select("source", "source_size", (F.col("before") + F.col("place")).alias("n"))
 
 
 def _row_hash(key: str, text: str) -> Column:
