@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import arrow_map
+
 #: Buckets of hashed n-grams, the n, the added count, and about how many texts of a language the fit reads.
 BITS = 16
 SIZES = (1, 2, 3)
 ADDED = 0.5
 SAMPLE_ROWS = 3000
+#: Languages of a model at most: its table has a column for each, and more are an error.
+MOST_LANGUAGES = 1000
 #: Characters that one pass scores, times languages.
 CELLS = 1 << 22
 
@@ -80,11 +84,13 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, key: str = "doc_
     """Counts n-grams by language on the executors, over about SAMPLE_ROWS texts of each language by a hash of the key.
 
     Rows with a null text or lang, and those for which ``learn`` isn't true, take no part.  What comes to the driver, and
-    is broadcast, has languages * 2**BITS numbers.
+    is broadcast, has languages * 2**BITS numbers, of MOST_LANGUAGES languages at most.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if learn is None else learn))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     languages = sorted(counts)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((1 << BITS, 0)))
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(int(min(1.0, SAMPLE_ROWS / counts[name]) * (1 << 30))))])
@@ -107,7 +113,7 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, key: str = "doc_
             bucket = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), k, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n[bucket])], names=["lang", "bucket", "n"])
 
-    grams = sample.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(work, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    grams = arrow_map(sample.select(F.col(text).alias("text"), F.col(lang).alias("lang")), work, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((1 << BITS, len(languages)), ADDED)
     for r in grams.toLocalIterator():
         table[r["bucket"], r["lang"]] += r["n"]
@@ -145,4 +151,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
                         name[lo + k], score[lo + k] = languages[best[k]], posterior[k]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, f"doc_id {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    return arrow_map(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), work, f"doc_id {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
