@@ -12,10 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import arrow_map
 from lodestone.llm.html_samples import sample_pages
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select xmp noembed noframes".split())
+#: Elements whose content is no markup, and those of them that reach to the page's end where their end tag is missing.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+TO_THE_END = frozenset("script style".split())
+#: Elements whose content isn't part of the text, and those of them that a block's start tag ends.
+UNSEEN = frozenset("noscript template svg object canvas select annotation annotation-xml".split())
+BROKEN_OFF = ("select", "svg")
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Start tags that end an open element of the same kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr"), "thead": ("tbody",), "tfoot": ("tbody", "thead", "tr")}
@@ -48,6 +54,7 @@ _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|style|hidden|aria-hi
 _SENTENCE = re.compile(r"[.!?…。][\"'”’)»]*$")
 _LEGAL = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie", re.I)
 _BARS = re.compile(r"[|·•»›]")
+_DIGIT = re.compile(r"\d")
 
 _named: dict[str, int] = {}
 
@@ -87,11 +94,16 @@ class Blocks:
 
 def leaf_blocks(page: str) -> Blocks:
     """Splits a page at its block elements.  Scripts, styles, comments and the like are gone, references decoded, white
-    space within a block is one space.  Missing end tags end where the next one implies it."""
+    space within a block is one space.  Missing end tags end where the next one implies it.
+
+    An element whose content isn't shown ends with its parent at the latest, and one without any end tag further on
+    hides nothing; of raw elements only a script or a style without one takes the rest of the page.
+    """
     out, stack, open_ = Blocks(), [], {}
+    unclosed: set[str] = set()
     parts: list[str] = []
     linked = 0
-    bits, own, links = 0, 0, 0
+    bits, own, links, unseen = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -104,15 +116,24 @@ def leaf_blocks(page: str) -> Blocks:
             parts, linked = [], 0
 
     def pop() -> None:
-        nonlocal bits, own, links
-        tag, bits, own, links = stack.pop()
+        nonlocal bits, own, links, unseen
+        tag, bits, own, links, unseen = stack.pop()
         open_[tag] -= 1
 
+    def closing(tag: str) -> re.Match | None:
+        """The next end tag, unless another element of the kind begins before it; that there is none is looked up once."""
+        found = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+        if not found:
+            unclosed.add(tag)
+        elif tag not in TO_THE_END and re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, found.start()):
+            return None
+        return found
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         lo = m.start() if m else end
-        if lo > at:
+        if lo > at and not unseen:
             parts.append(page[at:lo])
             if links:
                 linked += lo - at
@@ -124,10 +145,10 @@ def leaf_blocks(page: str) -> Blocks:
         tag = m[2].lower()
         if not m[1]:
             if tag in RAW and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else end
-                if tag == "select":
-                    flush()
+                close = closing(tag)
+                at = close.end() if close else end if tag in TO_THE_END else at
+                continue
+            if tag in UNSEEN and (m[3].endswith("/") or not closing(tag)):
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -136,11 +157,14 @@ def leaf_blocks(page: str) -> Blocks:
                     parts.append(" " if tag in ("br", "wbr", "img", "input") else "")
                 continue
             if tag in BLOCK:
+                for other in BROKEN_OFF:
+                    while open_.get(other) and tag not in ("option", "optgroup", "hr"):
+                        pop()
                 flush()
-                if open_.get("p") and tag not in ("button", "label"):
+                if open_.get("p") and not unseen and tag not in ("button", "label"):
                     while open_["p"]:
                         pop()
-                for other in CLOSES.get(tag, ()):
+                for other in CLOSES.get(tag, ()) if not unseen else ():
                     if open_.get(other):
                         for k in range(len(stack) - 1, -1, -1):
                             name = stack[k][0]
@@ -152,12 +176,15 @@ def leaf_blocks(page: str) -> Blocks:
                                 break
             if m[3].endswith("/") and tag not in BLOCK:
                 continue
-            stack.append((tag, bits, own, links))
+            if tag == "select":
+                flush()
+            stack.append((tag, bits, own, links, unseen))
             open_[tag] = open_.get(tag, 0) + 1
             bits |= _TAG_BIT.get(tag, 0) | (_name_bits(m[3]) if m[3] else 0)
             if tag in BLOCK:
                 own = _TAG_BIT.get(tag, 0)
             links += tag == "a"
+            unseen += tag in UNSEEN
         elif open_.get(tag):
             if tag in BLOCK:
                 flush()
@@ -212,12 +239,11 @@ def features(pages: list[Blocks]) -> tuple[np.ndarray, np.ndarray]:
     def after(x: np.ndarray) -> np.ndarray:
         return np.concatenate([x[1:], [False]]) & ~last
 
-    head = [t[:400] for t in text]  # of shapes only; texts stay whole
-    words = [h.split() for h in head]
+    words = [t.split() for t in text]
     plain, short, link = (size > 80) & (share < 0.3), size < 30, share > 0.6
     shapes = [
-        np.array([bool(_SENTENCE.search(t[-8:])) for t in text]), np.array([bool(_LEGAL.search(h)) for h in head]), np.array([bool(_BARS.search(h)) for h in head]),
-        np.array([sum(w[0].isupper() for w in ws) > 0.6 * len(ws) for ws in words]), np.array([any(c.isdigit() for c in h) for h in head]), np.array(["," in h for h in head]),
+        np.array([bool(_SENTENCE.search(t[-8:])) for t in text]), np.array([bool(_LEGAL.search(t)) for t in text]), np.array([bool(_BARS.search(t)) for t in text]),
+        np.array([sum(w[0].isupper() for w in ws) > 0.6 * len(ws) for ws in words]), np.array([bool(_DIGIT.search(t)) for t in text]), np.array(["," in t for t in text]),
         (share > 0) & (share <= 0.3), (share > 0.3) & (share <= 0.8), share > 0.8, first, before(first), last,
         before(np.append(own[1:] == own[:-1], False)), after(np.insert(own[1:] == own[:-1], 0, False)), before(plain), after(plain), before(short), after(short), before(link), after(link),
     ]
@@ -321,7 +347,7 @@ def main_texts(pages: list[str | None], model: ChainModel) -> list[str]:
 def extract_main_text(pages: DataFrame, model: ChainModel | None = None, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).  No shuffle; whole pages.
 
-    A null or empty page, or one without main text, has an empty text.  The broadcast model has WIDTH * 2 + 4 numbers.
+    A null or empty page, or one without main text, has an empty text; repeated rows give repeated results.  The broadcast model has WIDTH * 2 + 4 numbers.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
 
@@ -333,4 +359,4 @@ def extract_main_text(pages: DataFrame, model: ChainModel | None = None, key: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     types = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
-    return pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).cast("string").alias("html")).mapInArrow(work, f"page_id {types[key]}, url {types[url]}, text string, n_chars long")
+    return arrow_map(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).cast("string").alias("html")), work, f"page_id {types[key]}, url {types[url]}, text string, n_chars long")
