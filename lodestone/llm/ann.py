@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import arrow_map, cut
 from lodestone.llm.streams import groups
 
 #: Vectors that the index is fitted on, and queries that its probes are set by.
@@ -28,8 +28,10 @@ VECTORS, QUERIES, STEP, DEVIATIONS = 1024, 1024, 16, 3.0
 
 @dataclass
 class Index:
-    """Squared length of the longest vector, rotation, centroids (rotated) and how many lists a query probes."""
+    """Largest component, squared length of the longest vector in that unit, rotation, centroids (rotated) and how many
+    lists a query probes."""
 
+    unit: float
     longest: float
     rotation: np.ndarray
     centres: np.ndarray
@@ -37,7 +39,7 @@ class Index:
 
     def place(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
         """Rotated points whose distances order as inner products do: a last dimension evens out the candidates' lengths."""
-        x = vectors.astype(np.float64)
+        x = vectors.astype(np.float64) / self.unit
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.longest - (x * x).sum(1), 0.0))
         return (np.column_stack([x, last]) @ self.rotation).astype(np.float32)
 
@@ -54,7 +56,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def fit_index(vectors: DataFrame, rows: int, size: int, longest: float, k: int, seed: int = 4) -> Index:
+def fit_index(vectors: DataFrame, rows: int, size: int, unit: float, longest: float, k: int, seed: int = 4) -> Index:
     """Rotation, k-means centroids and probes from about SAMPLE_ROWS vectors, taken by a hash of their id.
 
     Probes grow until the lists that the sample's queries probe hold RECALL of their true neighbours in the sample;
@@ -65,7 +67,7 @@ def fit_index(vectors: DataFrame, rows: int, size: int, longest: float, k: int,
     share = int(min(1.0, SAMPLE_ROWS / max(rows, 1)) * (1 << 30))
     sample = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1 << 30)) < share).select("vec_id", "x").orderBy("vec_id").toArrow()
     raw = _matrix(sample.column("x").combine_chunks(), size) if sample.num_rows else np.zeros((0, size), np.float32)
-    index = Index(longest, rotation, np.zeros((1, size + 1), np.float32), 1)
+    index = Index(unit, longest, rotation, np.zeros((1, size + 1), np.float32), 1)
     lists = max(1, min(MOST_LISTS, int(rows**0.5), len(raw)))
     if lists < 2:
         return index
@@ -125,26 +127,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     are null, zero, or hold null or non-finite components take no part, nor do those with a null key or with another
     number of components than most have.  Rows that share a key are candidates each.
 
-    All vectors are indexed.  A list of any size is cut into blocks of about VECTORS, the queries that probe it into
+    Floats are kept as such and other numbers as doubles; scores are of the vectors as they are.  All vectors are indexed.  A list of any size is cut into blocks of about VECTORS, the queries that probe it into
     blocks of about QUERIES, and each pair of blocks is one unit of work; a query first scans FIRST lists, and the
     others only give what beats the k-th best of those.  A query probes more lists where these hold fewer than k + 1.
     """
     spark = vectors.sparkSession
-    x = F.transform(F.col(vector), lambda v: v.cast("float"))
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" == queries.schema[vector].dataType.simpleString() else "array<double>"
+    x = F.col(vector).cast(kind)
     finite = F.forall(F.col("x"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
     def usable(frame: DataFrame) -> DataFrame:
         return frame.select(F.col(key).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda v: v != 0))
 
     good = usable(vectors)
-    square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    sizes = good.groupBy(F.size("x").alias("size")).agg(F.count(F.lit(1)).alias("rows"), F.max(square).alias("longest")).orderBy(F.desc("rows"), "size").limit(1).collect()
+    largest = F.array_max(F.transform("x", lambda v: F.abs(v.cast("double"))))
+    sizes = good.groupBy(F.size("x").alias("size")).agg(F.count(F.lit(1)).alias("rows"), F.max(largest).alias("unit")).orderBy(F.desc("rows"), "size").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    size, rows, longest = sizes[0]
+    size, rows, unit = sizes[0]
     good, asked = good.where(F.size("x") == size), usable(queries).where(F.size("x") == size)
-    index = fit_index(good, rows, size, longest, k)
+    square = F.aggregate("x", F.lit(0.0), lambda s, v: s + F.pow(v.cast("double") / F.lit(unit), F.lit(2.0)))
+    index = fit_index(good, rows, size, unit, good.agg(F.max(square)).first()[0], k)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +156,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             own = _nearest_centre(shared.value.place(_matrix(batch.column("x"), size)), shared.value.centres)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["vec_id", "x", "list"])
 
-    listed = cut(good.mapInArrow(assign, "vec_id long, x array<float>, list int"))
+    listed = cut(arrow_map(good, assign, f"vec_id long, x {kind}, list int"))
     held = np.zeros(len(index.centres), np.int64)
     for r in listed.groupBy("list").count().collect():  # one row per list, MOST_LISTS at most
         held[r["list"]] = r["count"]
@@ -166,12 +170,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             probed = pa.array([o[:n] for o, n in zip(order.astype(np.int32), count, strict=True)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, probed], names=["vec_id", "x", "lists"])
 
-    probing = cut(asked.mapInArrow(probe, "vec_id long, x array<float>, lists array<int>"))
-    first = _scan_lists(listed, probing.select("vec_id", "x", F.explode(F.slice("lists", 1, FIRST)).alias("list"), F.lit(None).cast("double").alias("least")), index, shared, held, size, k)
+    probing = cut(arrow_map(asked, probe, f"vec_id long, x {kind}, lists array<int>"))
+    first = _scan_lists(listed, probing.select("vec_id", "x", F.explode(F.slice("lists", 1, FIRST)).alias("list"), F.lit(None).cast("double").alias("least")), shared, held, size, k)
     first = cut(_best(first, k))
     least = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least")).alias("least"))
     rest = probing.where(F.size("lists") > FIRST).join(least, "vec_id", "left").select("vec_id", "x", F.explode(F.slice("lists", FIRST + 1, len(index.centres))).alias("list"), "least")
-    second = _scan_lists(listed, rest, index, shared, held, size, k)
+    second = _scan_lists(listed, rest, shared, held, size, k)
     return _best(first.drop("rank").unionByName(second), k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -180,7 +184,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan_lists(listed: DataFrame, asking: DataFrame, index: Index, shared, held: np.ndarray, size: int, k: int) -> DataFrame:
+def _scan_lists(listed: DataFrame, asking: DataFrame, shared, held: np.ndarray, size: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best at most of each query in each unit of work."""
     spark = listed.sparkSession
     asked = {r["list"]: r["count"] for r in asking.groupBy("list").count().collect()}  # one row per list
@@ -207,12 +211,12 @@ def _scan_lists(listed: DataFrame, asking: DataFrame, index: Index, shared, held
             own, asking = ids[:at], ids[at:]
             least = group.column("least").to_numpy(zero_copy_only=False)[at:]
             placed, wanted = index.place(vectors), index.place(query, query=True)
-            length = (query.astype(np.float64) ** 2).sum(1)
+            length = ((query.astype(np.float64) / index.unit) ** 2).sum(1)
             out: tuple[list, list, list] = ([], [], [])
             best = np.where(np.isnan(least), -np.inf, least)
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for lo_ in range(0, at, 512):  # the limit tightens from one part of the block to the next
-                limit = np.where(np.isinf(best), np.inf, length + index.longest - 2 * best)
+                limit = np.where(np.isinf(best), np.inf, length + index.longest - 2 * (best / index.unit / index.unit))
                 q, v = scan(wanted, placed[lo_ : lo_ + 512], limit)
                 v = v + lo_
                 score = np.einsum("ij,ij->i", query[q].astype(np.float64), vectors[v].astype(np.float64))
@@ -230,4 +234,4 @@ def _scan_lists(listed: DataFrame, asking: DataFrame, index: Index, shared, held
                 column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(work, "query_id long, vec_id long, score double")
+    return arrow_map(rows, work, "query_id long, vec_id long, score double")
