@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from datetime import date
 from hashlib import blake2b
@@ -11,9 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import arrow_map
+
 ROUNDS = 10
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+#: Days from 1900 to 2099: up to the twelfth of a month, which can also be read as a month, and later ones.
+_EARLY, _LATE = ([n for n in range(date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal()) if (date.fromordinal(n).day <= 12) == early] for early in (True, False))
 
 
 class Cipher:
@@ -114,6 +118,10 @@ def _phone(text: str, cipher: Cipher, back: bool) -> str | None:
     digits = re.sub(r"\D", "", text)
     head = "1" if len(digits) == 11 and digits[0] == "1" else ""
     local = digits[len(head) :]
+    if digits == text:  # a bare number may be anything
+        return None
+    if digits[0] == "0" and text[0] == "0" and 9 <= len(digits) <= 12 and digits[1] != "0":  # a national number behind its trunk prefix
+        return _refill(text, digits[:2] + cipher.characters("phone" + digits[:2], digits[2:], back=back))
     if len(local) == 10 and local[0] in "23456789" and local[3] in "23456789" and (head or text[0] != "+"):
         sizes = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10]
         new = cipher.mixed("phone", [int(c) - 2 * (n == 8) for c, n in zip(local, sizes, strict=True)], sizes, back)
@@ -128,20 +136,13 @@ def _date(text: str, cipher: Cipher, back: bool) -> str | None:
     order = "ymd" if len(parts[0]) == 4 else "mdy" if "/" in text and int(parts[0]) <= 12 else "dmy"
     at = {c: k for k, c in enumerate(order)}
     try:
-        day = date(int(parts[at["y"]]), int(parts[at["m"]]), int(parts[at["d"]])).toordinal() - _FIRST_DAY
+        old = date(int(parts[at["y"]]), int(parts[at["m"]]), int(parts[at["d"]]))
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    if not 1900 <= old.year < 2100:
         return None
-    if order == "ymd":
-        new = date.fromordinal(_FIRST_DAY + cipher.permute("date", day, _DAYS, back))
-    else:  # stay among the days that read the same way
-        first, slash = _FIRST_DAY, "/" in text
-        while True:
-            day = cipher.permute("date", day, _DAYS, back)
-            new = date.fromordinal(first + day)
-            if not slash or (order == "mdy") or new.day > 12:
-                break
+    days = _EARLY if old.day <= 12 else _LATE  # in any style a date becomes the same one, which reads the same way
+    new = date.fromordinal(days[cipher.permute("date", bisect_left(days, old.toordinal()), len(days), back)])
     width = {"y": 4, "m": 2, "d": 2} if all(len(p) > 1 for p in parts) else {"y": 4, "m": 1, "d": 1}
     value = {"y": new.year, "m": new.month, "d": new.day}
     marks = re.findall(r"\D", text)
@@ -177,7 +178,20 @@ _PATTERNS = [(kind, re.compile(pattern), replace) for kind, (pattern, replace) i
 GROUPED = ("iban", "card")
 
 
-def _grouped(text: str, pattern: re.Pattern, replace: Callable, taken: list[tuple[int, int]], cipher: Cipher, back: bool) -> list[tuple[int, int, str]]:
+class Spans:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans.sort()
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def meet(self, lo: int, hi: int) -> bool:
+        """Whether one of them overlaps lo to hi."""
+        k = bisect_right(self.ends, lo)
+        return k < len(self.starts) and self.starts[k] < hi
+
+
+def _grouped(text: str, pattern: re.Pattern, replace: Callable, taken: Spans, cipher: Cipher, back: bool) -> list[tuple[int, int, str]]:
     """(start, end, new) of the valid values: of a match the longest valid run of groups, else on from its next group.
 
     A new value is permuted on while it would make a longer run valid that wasn't, so that ``back`` finds the same runs.
@@ -185,8 +199,9 @@ def _grouped(text: str, pattern: re.Pattern, replace: Callable, taken: list[tupl
     found, failed, at = [], [], 0
     while m := pattern.search(text, at):
         lo, hit = m.start(), None
+        failed = [f for f in failed if f[1] > lo]
         for hi in [m.end(), *(lo + k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " ")]:
-            if any(a < hi and lo < b for a, b in taken) or (hi < m.end() and not pattern.fullmatch(text, lo, hi)):
+            if taken.meet(lo, hi) or (hi < m.end() and not pattern.fullmatch(text, lo, hi)):
                 continue
             if (new := replace(text[lo:hi], cipher, back)) is not None:
                 near = [(a, b) for a, b in failed if a < hi and lo < b]
@@ -206,7 +221,7 @@ def _grouped(text: str, pattern: re.Pattern, replace: Callable, taken: list[tupl
 def pseudonymise(text: str, cipher: Cipher, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every valid value replaced, and how many of each kind; ``back`` undoes it."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = Spans([])
     for kind, pattern, replace in _PATTERNS:
         if kind == "email" and "@" not in text or kind == "access_key" and "IA" not in text:
             continue
@@ -214,11 +229,11 @@ def pseudonymise(text: str, cipher: Cipher, back: bool = False) -> tuple[str, di
             found += [(a, b, kind, new) for a, b, new in _grouped(text, pattern, replace, taken, cipher, back)]
         else:
             for m in pattern.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b in taken):
+                if taken.meet(m.start(), m.end()):
                     continue
                 if (new := replace(m[0], cipher, back)) is not None:
                     found.append((m.start(), m.end(), kind, new))
-        taken = [(a, b) for a, b, _, _ in found]
+        taken = Spans([(a, b) for a, b, _, _ in found])
     found.sort()
     out, at, counts = [], 0, {}
     for lo, hi, kind, new in found:
@@ -236,7 +251,9 @@ def pseudonymise_documents(docs: DataFrame, secret: bytes, back: bool = False, k
 
     Cards (Luhn), IBANs (mod 97), social security numbers, telephone numbers, IPv4 addresses, calendar dates from 1900 to
     2099, e-mail addresses and access key ids become others of the same form, which are valid again.  Separators, a
-    card's first digit, country codes, top-level domains and the date style stay.  Equal values give equal pseudonyms in
+    card's first digit, country codes, top-level domains and the date style stay, as does whether a day lies within the
+    first twelve of its month.  A telephone number has a plus sign, a trunk zero or ten digits of the American form, and
+    some separator or plus sign: digits alone aren't taken for one.  Equal values give equal pseudonyms in
     all documents, however they are spaced; the key alone undoes them (``back``).  A null text stays null.
     """
     if not 1 <= len(secret) <= 64:
@@ -253,4 +270,4 @@ def pseudonymise_documents(docs: DataFrame, secret: bytes, back: bool = False, k
                 kinds.append(sorted(counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "text", "n_values", "kinds"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, f"doc_id {docs.schema[key].dataType.simpleString()}, text string, n_values int, kinds array<string>")
+    return arrow_map(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), work, f"doc_id {docs.schema[key].dataType.simpleString()}, text string, n_values int, kinds array<string>")
