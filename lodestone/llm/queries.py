@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,23 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(wide_table(spark, sf_dir, "documents"))
 
 
+def _known_texts() -> list[tuple[int, str]]:
+    """Every known licence as a document: capitals, another heading, copyright lines above and below it."""
+    texts = []
+    for n, text in enumerate(LICENCES.values(), 1):
+        head, _, rest = text.partition("\n")
+        title = f"The {head} ({head.split()[0]})" if head in ("MIT License", "ISC License") else head
+        texts.append((-n, f"Copyright Jane Doe {1990 + n}\n{title}\n\n{rest.upper() if n % 2 else rest}\n(c) {2000 + n} J. Doe\n"))
+    return texts
+
+
+def license_texts_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan over all documents and over known licences, which it knows as a whole."""
+    rows = F.array(*[F.struct(F.lit(n).cast("long").alias("doc_id"), F.lit(text).alias("text")) for n, text in _known_texts()])
+    extra = spark.range(1).select(F.inline(rows))
+    return licenses.scan_licences(wide_table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Learns from the labelled documents that aren't held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -70,9 +88,15 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str, tokenizer: str = "word_
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal numbers, dates and addresses replaced by keyed pseudonyms."""
-    secret = spark.conf.get("spark.lodestone.pseudonym.key", "lodestone example key")
-    return pii.pseudonymise_documents(wide_table(spark, sf_dir, "documents"), secret.encode())
+    """Every document with its personal numbers, dates and addresses replaced by keyed pseudonyms.
+
+    The key is that of ``spark.lodestone.pseudonym.key``; a session without one gets a random key of its own, which its
+    later runs share and which goes with it.
+    """
+    name = "spark.lodestone.pseudonym.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return pii.pseudonymise_documents(wide_table(spark, sf_dir, "documents"), spark.conf.get(name).encode())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
+    "license_texts_scan": license_texts_scan,
     "op8_toxicity": op8_toxicity,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_pseudonyms": op10_pseudonyms,
@@ -92,4 +117,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_exact_dedup": dedup.ORACLE,
     "op7_license_scan": licenses.oracle(list((LICENCES | NOTICES).items())),
+    "license_texts_scan": licenses.oracle(list((LICENCES | NOTICES).items()), _known_texts()),
 }
