@@ -70,16 +70,17 @@ def vector_topk_filtered(spark, sf_dir):
 
 
 def _metric(metric: str, sql: str):
+    """Searches: every fiftieth id, against all rows."""
+
     def run(spark, sf_dir):
         children = _children(spark, sf_dir)
-        queries = [(r["id"], r["embedding"]) for r in children.where("id < 20").select("id", "embedding").collect()]
-        return vector.batch_topk(children, queries, 5, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+        return vector.batch_topk(children, children.where("id % 50 = 0").select("id", "embedding"), 5, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
     run.__name__ = "vector_topk_batch" if metric == "cosine" else f"vector_topk_{metric}"
     return _query(f"""
 SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-    SELECT a.vec_id AS query_id, b.vec_id AS id, {sql} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 20)) WHERE rank <= 5""")(run)
+    SELECT a.vec_id AS query_id, b.vec_id AS id, {sql} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0 AND a.embedding IS NOT NULL AND len(b.embedding) = len(a.embedding))) WHERE rank <= 5""")(run)
 
 
 _metric("cosine", "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
@@ -87,25 +88,6 @@ _metric("dot", "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
 _metric("l2", "-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
 
 
-def _metric_all(metric: str, sql: str):
-    """The stated queries, every fiftieth id, against all rows; the forms above search for 20 rows at every scale."""
-
-    def run(spark, sf_dir):
-        children = _children(spark, sf_dir)
-        return vector.batch_topk(children, children.where("id % 50 = 0").select("id", "embedding"), 5, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-    run.__name__ = "vector_topk_batch_all" if metric == "cosine" else f"vector_topk_{metric}_all"
-    return _query(f"""
-SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-    SELECT a.vec_id AS query_id, b.vec_id AS id, {sql} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0 AND a.embedding IS NOT NULL AND len(b.embedding) = len(a.embedding))) WHERE rank <= 5""")(run)
-
-
-_metric_all("cosine", "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
-_metric_all("dot", "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
-_metric_all("l2", "-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")
-
-
 def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     children = _children(spark, sf_dir)
     found = vector.topk(children, _query_vector(children), k)
@@ -176,26 +158,13 @@ def user_search_literal(spark, sf_dir):
     return catalog.search(_users(spark, sf_dir), "R#00000001", ("name", "email"), literal=True)
 
 
-@_query(f"WITH {_CATALOGUE} SELECT * FROM c WHERE user_id <= 50 AND status IS DISTINCT FROM 'deleted' ORDER BY created_at DESC, id LIMIT 20 OFFSET 40")
-def list_documents_page(spark, sf_dir):
-    found = catalog.undeleted(_catalogue(spark, sf_dir).where("user_id <= 50"))
-    return catalog.page_of(found, [F.desc("created_at"), F.col("id")], 3, 20)
-
-
-@_query(f"WITH {_CATALOGUE} SELECT 3::INT AS page, 20::INT AS \"limit\", count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM c WHERE user_id <= 50 AND status IS DISTINCT FROM 'deleted'")
-def pagination_meta(spark, sf_dir):
-    return catalog.pagination(catalog.undeleted(_catalogue(spark, sf_dir).where("user_id <= 50")), 3, 20)
-
-
 @_query(f"WITH {_CATALOGUE} SELECT * FROM c WHERE status IS DISTINCT FROM 'deleted' ORDER BY created_at DESC, id LIMIT 20 OFFSET 40")
-def list_documents_page_all(spark, sf_dir):
-    """``list_documents_page`` over all owners."""
+def list_documents_page(spark, sf_dir):
     return catalog.page_of(catalog.undeleted(_catalogue(spark, sf_dir)), [F.desc("created_at"), F.col("id")], 3, 20)
 
 
 @_query(f"WITH {_CATALOGUE} SELECT 3::INT AS page, 20::INT AS \"limit\", count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM c WHERE status IS DISTINCT FROM 'deleted'")
-def pagination_meta_all(spark, sf_dir):
-    """``pagination_meta`` over all owners."""
+def pagination_meta(spark, sf_dir):
     return catalog.pagination(catalog.undeleted(_catalogue(spark, sf_dir)), 3, 20)
 
 
@@ -232,16 +201,8 @@ def patch_users(spark, sf_dir):
     return store.patch(users, users.where("id % 7 = 0").select("id", F.concat(F.lit("user "), F.col("id").cast("string")).alias("name")))
 
 
-@_query("SELECT c_custkey AS id, c_name AS name FROM customer a WHERE c_custkey < 100 AND EXISTS (SELECT 1 FROM customer b WHERE b.c_name = a.c_name AND b.c_custkey IS DISTINCT FROM a.c_custkey + 1)")
-def email_conflict(spark, sf_dir):
-    users = _users(spark, sf_dir)
-    candidates = users.where("id < 100").select((F.col("id") + 1).alias("id"), "name")
-    return catalog.conflicts(candidates, users, "name", "id").select((F.col("id") - 1).alias("id"), "name")
-
-
 @_query("SELECT c_custkey AS id, c_name AS name FROM customer a WHERE EXISTS (SELECT 1 FROM customer b WHERE b.c_name = a.c_name AND b.c_custkey IS DISTINCT FROM a.c_custkey + 1)")
-def email_conflict_all(spark, sf_dir):
-    """``email_conflict`` over all customers."""
+def email_conflict(spark, sf_dir):
     users = _users(spark, sf_dir)
     candidates = users.select((F.col("id") + 1).alias("id"), "name")
     return catalog.conflicts(candidates, users, "name", "id").select((F.col("id") - 1).alias("id"), "name")
@@ -319,33 +280,10 @@ def diff_children(spark, sf_dir):
 # sections and passages
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and paragraphs of web pages as parsed documents; four nodes make a page."""
-    rows = spread(_table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("doc_id"), F.expr(r"regexp_extract_all(html, '<(h1|p)>([^<]+)', 1)").alias("tags"), F.expr(r"regexp_extract_all(html, '<(h1|p)>([^<]+)', 2)").alias("texts"))
-    rows = rows.where(F.size("tags") > 0)
-    at = F.sequence(F.lit(0), F.size("tags") - 1)
-    nodes = F.transform(at, lambda i: F.struct(i.alias("seq"), F.lit(0).alias("depth"), F.upper(F.get("tags", i)).alias("type"), F.lit(None).cast("string").alias("actual_text"), F.array(i.cast("long")).alias("mcids")))
-    items = lambda n: F.transform(F.slice(at, n * 4 + 1, F.lit(4)), lambda i: F.struct(i.cast("long").alias("mcid"), F.get("texts", i).alias("text")))
-    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("tags") - 1) / 4).cast("int")), lambda n: F.struct((n + 1).alias("page_num"), F.lit("").alias("text"), items(n).alias("text_items")))
-    return rows.select("doc_id", F.array_join("texts", "\n").alias("text"), pages.alias("pages"), nodes.alias("nodes"))
-
-
 _SPACE = "[\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 
 
-@_query(f"""
-WITH t AS (SELECT page_id, regexp_extract_all(html, '<(h1|p)>([^<]+)', 1) AS tags, regexp_extract_all(html, '<(h1|p)>([^<]+)', 2) AS texts FROM pages),
-n AS (SELECT page_id, unnest(range(len(tags))) AS seq, unnest(tags) AS tag, regexp_replace(regexp_replace(unnest(texts), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM t),
-p AS (SELECT *, seq // 4 + 1 AS page, sum((tag = 'h1')::INT) OVER (PARTITION BY page_id ORDER BY seq) AS parent_no FROM n),
-g AS (SELECT page_id, parent_no, string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (tag = 'p' AND text <> '') AS text,
-             min(page) AS start_page, max(page) FILTER (tag = 'h1' OR text <> '') AS end_page FROM p WHERE parent_no > 0 GROUP BY ALL)
-SELECT CAST(page_id AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY parent_no) - 1 AS INT) AS "index", text, sha256(text) AS content_hash,
-       CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page FROM g WHERE text IS NOT NULL""")
-def section_parents(spark, sf_dir):
-    return sections.section_parents(_parsed(spark, sf_dir)).drop("id")
-
-
-def _parsed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every heading and paragraph of web pages with its whole text as parsed documents; four nodes make a page."""
     rows = spread(_table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("doc_id"), markup.html_elements(F.col("html")).alias("found")).where(F.size("found") > 0)
     at = F.sequence(F.lit(0), F.size("found") - 1)
@@ -374,9 +312,9 @@ g AS (SELECT page_id, parent_no, string_agg(CASE WHEN level IS NULL THEN text EL
              min(page) AS start_page, max(page) FILTER (starts OR level IS NULL) AS end_page FROM p WHERE parent_no > 0 GROUP BY ALL)
 SELECT CAST(page_id AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY parent_no) - 1 AS INT) AS "index", text, sha256(text) AS content_hash,
        CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page FROM g WHERE text IS NOT NULL""")
-def section_parents_whole(spark, sf_dir):
-    """``section_parents`` over all headings and paragraphs, whole; that query and its SQL read texts up to the first tag."""
-    return sections.section_parents(_parsed_whole(spark, sf_dir)).drop("id")
+def section_parents(spark, sf_dir):
+    """Sections of all headings and paragraphs, whole."""
+    return sections.section_parents(_parsed(spark, sf_dir)).drop("id")
 
 
 def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,13 +376,24 @@ def child_chunks(spark, sf_dir):
     return _passages(spark, sf_dir)[1]
 
 
-@_query("SELECT unnest(['blank', 'not in parent', 'repeated index', 'too long']) AS rule, 0::BIGINT AS violations")
+@_query(f"""
+WITH d AS (SELECT length(text) AS n, regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM documents)
+SELECT unnest(['blank', 'not in parent', 'repeated index', 'too long']) AS rule, 0::BIGINT AS found
+UNION ALL SELECT 'documents', count(*) FILTER (text <> '') FROM d
+UNION ALL SELECT 'characters of short documents', CAST(sum(length(text)) FILTER (n <= 800) AS BIGINT) FROM d
+UNION ALL SELECT 'beginnings', count(DISTINCT substr(text, 1, 1)) FILTER (text <> '') FROM d
+UNION ALL SELECT 'ends', count(DISTINCT substr(text, -1)) FILTER (text <> '') FROM d""")
 def chunk_invariants(spark, sf_dir):
+    """Violations of what holds for all passages, and counts that the documents give too."""
     docs, children = _passages(spark, sf_dir)
     both = children.join(docs.select(F.col("id").alias("parent_id"), F.col("text").alias("whole")), "parent_id")
     n = F.row_number().over(Window.partitionBy("parent_id", "index").orderBy("id"))
-    marks = both.withColumn("n", n).agg(F.count_if(T.trim(F.col("text")) == "").alias("blank"), F.count_if(~F.contains("whole", "text")).alias("not in parent"), F.count_if(F.col("n") > 1).alias("repeated index"), F.count_if(T.utf16_length(F.col("text")) > chunking.SIZE).alias("too long"))
-    return marks.unpivot([], ["blank", "not in parent", "repeated index", "too long"], "rule", "violations")
+    ends = both.groupBy("parent_id").agg(F.substring(F.min_by("text", "index"), 1, 1).alias("first"), F.substring(F.max_by("text", "index"), -1, 1).alias("last"))
+    ends = ends.agg(F.countDistinct("first").alias("beginnings"), F.countDistinct("last").alias("ends"), F.count(F.lit(1)).alias("documents"))
+    short = F.sum(F.when(T.utf16_length(F.col("whole")) <= chunking.SIZE, F.length("text")))
+    marks = both.withColumn("n", n).agg(F.count_if(T.trim(F.col("text")) == "").alias("blank"), F.count_if(~F.contains("whole", "text")).alias("not in parent"), F.count_if(F.col("n") > 1).alias("repeated index"), F.count_if(T.utf16_length(F.col("text")) > chunking.SIZE).alias("too long"), short.alias("characters of short documents"))
+    rows = [m.unpivot([], m.columns, "rule", "found") for m in (marks, ends)]
+    return rows[0].unionByName(rows[1])
 
 
 _TURNS = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role <> 'system' AND trim(text) <> ''"
