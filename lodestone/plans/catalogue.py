@@ -258,7 +258,7 @@ def diff_counters(spark, sf_dir):
 @_query(f"WITH {_VERSIONS} SELECT document_id, content_hash, idx AS \"index\" FROM n")
 def diff_apply(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
-    return diff.apply(diff.classify(old, new)).select("document_id", "content_hash", "index")
+    return diff.apply(diff.classify(old, new), old).select("document_id", "content_hash", "index")
 
 
 @_query("SELECT source AS document_id, count(*) AS sections, count(*) AS ids, count(DISTINCT sha256(text)) AS contents FROM documents WHERE doc_id % 3 < 2 GROUP BY source")
@@ -267,7 +267,7 @@ def diff_reapply(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     state = old
     for version in (new, new.withColumn("index", -F.col("index")), old.drop("id")):
-        state = diff.apply(diff.classify(state, version))
+        state = diff.apply(diff.classify(state, version), state)
     return state.groupBy("document_id").agg(F.count(F.lit(1)).alias("sections"), F.countDistinct("id").alias("ids"), F.countDistinct("content_hash").alias("contents"))
 
 

@@ -37,7 +37,7 @@ def test_ids_stay_different_when_content_comes_back(spark):
     for version in ("ABCX", "XABC", "XABX", "X", "XX", "X", "XX", "ABCX"):
         new = spark.createDataFrame([("d", None, c, n, 1, 1, c) for n, c in enumerate(version)], SECTION).drop("id")
         before = {r["id"]: r["text"] for r in state.collect()}
-        state = spark.createDataFrame(diff.apply(diff.classify(state, new)).collect(), "id string, document_id string, index int, text string, content_hash string, start_page int, end_page int")
+        state = spark.createDataFrame(diff.apply(diff.classify(state, new), state).collect(), "id string, document_id string, index int, text string, content_hash string, start_page int, end_page int")
         rows = state.orderBy("index").collect()
         assert "".join(r["text"] for r in rows) == version and len({r["id"] for r in rows}) == len(version)
         assert all(before.get(r["id"], r["text"]) == r["text"] for r in rows)
