@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker keeps; the older half goes when it is full.
-CACHED_WORDS = 300_000
+from lodestone.llm import textvec
+from lodestone.llm.common import arrow_map
+
+#: Stems and other words whose ids a worker keeps; when there are more it begins anew.
+CACHED_WORDS = 100_000
+#: Bytes of text whose words are looked up together.
+GROUP_BYTES = 4 << 20
+#: Words of Latin letters, perhaps with one mark after them.  Their lower case is that of each letter by itself.
+MARKS = ".,!?;:"
+PLAIN = rf"^[A-Za-z\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{12F}}\x{{131}}-\x{{24F}}]+[{MARKS}]?$"
 #: Pieces of about so many documents are packed by one task.
 DOCS_PER_TASK = 100_000
 #: Sequences that a task holds open, and pieces that it looks at before it places them, the longest first.
@@ -21,107 +31,97 @@ WINDOW = 8192
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-class Generations:
-    """A bounded dictionary of bytes: when the young half is full it becomes the old half, and what is asked for returns."""
-
-    def __init__(self, most: int):
-        self.half, self.young, self.old = most // 2, {}, {}
-
-    def unknown(self, keys: set) -> list:
-        """The keys that have no value yet; the others are in ``young`` afterwards, as are new ones put there."""
-        if len(self.young) + len(keys) > self.half:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for key in keys.difference(young):
-            value = old.get(key)
-            if value is None:
-                new.append(key)
-            else:
-                young[key] = value
-        return new
-
-
 class WordTokenizer:
-    """Little-endian 32-bit ids of texts, by way of bounded caches of their words.
+    """Ids of texts, by way of their distinct words.
 
-    It holds for tokenizers whose pre-tokenizer never crosses ASCII white space, which their normaliser drops: the ids
-    of a text are then those of its words, one after the other.  Words of letters, perhaps with one mark after them,
-    reach the library in lower case, many in a call, as each is one pre-token, whose last token alone ends a word; other
-    words reach it one by one.
+    It holds for byte-level tokenizers with word ends whose pre-tokenizer never crosses ASCII white space, which their
+    normaliser drops: the ids of a text are then those of its words, one after the other.  Arrow splits the texts and
+    numbers their distinct words, and numpy lays the ids out again.  Of a PLAIN word the letters are one pre-token and
+    the mark another, so its lower-case stem goes to the library's model and the mark's id comes after; other words go
+    through the whole library, many in a call.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        vocabulary = self.inner.get_vocab()
-        self.packed = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
-        self.ends = {i for token, i in vocabulary.items() if token.endswith("</w>")}
-        self.words, self.stems = Generations(CACHED_WORDS), Generations(CACHED_WORDS)
-        self.marks = {m: self._one(m) for m in ("", ".", ",", "!", "?", ";", ":")}
-
-    def _one(self, text: str) -> bytes:
-        return b"".join([self.packed[i] for i in self.inner.encode(text, add_special_tokens=False).ids])
-
-    def _learn_stems(self, stems: set[str]) -> None:
-        new, young, packed, ends = self.stems.unknown(stems), self.stems.young, self.packed, self.ends
-        groups = [new[lo : lo + 64] for lo in range(0, len(new), 64)]
-        for group, got in zip(groups, self.inner.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            found, lo = [], 0
-            for hi, i in enumerate(ids := got.ids, 1):
-                if i in ends:
-                    found.append(b"".join([packed[k] for k in ids[lo:hi]]))
-                    lo = hi
-            if len(found) != len(group):
-                found = [self._one(stem) for stem in group]
-            young.update(zip(group, found, strict=True))
-
-    def _learn(self, words: set[bytes]) -> None:
-        new, young = self.words.unknown(words), self.words.young
-        plain, other = [], []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            stem, mark = (text[:-1], text[-1]) if text[-1] in ".,!?;:" else (text, "")
-            if stem.isalpha() and "Σ" not in stem:
-                plain.append((word, stem.lower(), mark))
-            else:
-                other.append((word, text))
-        self._learn_stems({stem for _, stem, _ in plain})
-        stems, marks = self.stems.young, self.marks
-        for word, stem, mark in plain:
-            young[word] = stems[stem] + marks[mark]
-        for word, text in other:
-            young[word] = self._one(text)
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text; texts are looked at about CACHED_WORDS / 8 words at a time."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        group: list[tuple[int, list[bytes]]] = []
-        held = 0
-        for n, text in enumerate(texts):
-            words = text.split()  # bytes split at ASCII white space only
-            for lo in range(0, len(words), CACHED_WORDS // 8):
-                part = words[lo : lo + CACHED_WORDS // 8]
-                if held + len(part) > CACHED_WORDS // 8:
-                    self._finish(group, out)
-                    group, held = [], 0
-                group.append((n, part))
-                held += len(part)
-        self._finish(group, out)
-        return [b"".join(parts) for parts in out]
-
-    def _finish(self, group: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        need: set[bytes] = set()
-        for _, words in group:
-            need.update(words)
-        self._learn(need)
-        get = self.words.young.__getitem__
-        for n, words in group:
-            out[n].append(b"".join(map(get, words)))
+        self.model = self.inner.model
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spelled = {bytewise.pre_tokenize_str(c)[0][0]: c for c in map(chr, range(128)) if c.isalpha()}
+        assert all(a == b for a, b in spelled.items())  # ASCII letters stand for themselves
+        two = {c.encode(): bytewise.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, 0x800))}
+        self.bytewise = {data[k]: text[k] for data, text in two.items() for k in (0, 1)}
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.inner.get_vocab().values()) + 1)]
+        self.stems: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.mark_ids = np.zeros(256, np.int64)
+        for mark in MARKS:
+            (self.mark_ids[ord(mark)],) = self.inner.encode(mark, add_special_tokens=False).ids
+
+    def _stem(self, stem: str) -> bytes:
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(self.bytewise)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(stem)])
+
+    def _known(self, cache: dict[str, bytes], texts: list[str], again: np.ndarray, make: Callable[[list[str]], Iterable[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct texts, one after the other, and how many each has; those that come again are kept."""
+        if len(cache) > CACHED_WORDS:
+            cache.clear()
+        found = [cache.get(t) for t in texts]
+        new = [n for n, f in enumerate(found) if f is None]
+        for n, made, kept in zip(new, make([texts[n] for n in new]), again[new].tolist(), strict=True):
+            found[n] = made
+            if kept:
+                cache[texts[n]] = made
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+
+    def _words(self, words: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for distinct words, of which it is known how often they occur."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        own = words.filter(plain)
+        ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset + 1 : own.offset + len(own) + 1]
+        mark = self.mark_ids[np.frombuffer(own.buffers()[2], np.uint8)[ends - 1]] if len(own) else np.zeros(0, np.int64)
+        stems = pc.utf8_lower(pc.utf8_rtrim(own, characters=MARKS)).dictionary_encode()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        stem = stems.indices.to_numpy(zero_copy_only=False)
+        flat, size = self._known(self.stems, stems.dictionary.to_pylist(), np.bincount(stem, times[is_plain], len(stems.dictionary)) > 1, lambda new: map(self._stem, new))
+        odd = [w.decode("utf-8", "replace") for w in words.filter(pc.invert(plain)).cast(pa.large_binary()).to_pylist()]
+        each = lambda new: [np.array(got.ids, "<u4").tobytes() for got in self.inner.encode_batch_fast(new, add_special_tokens=False)]
+        odd_flat, odd_size = self._known(self.others, odd, times[~is_plain] > 1, each)
+
+        count = np.empty(len(words), np.int64)
+        count[is_plain], count[~is_plain] = size[stem] + (mark > 0), odd_size
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), "<u4")
+        taken, at = _ranges(np.cumsum(size)[stem] - size[stem], first[is_plain], size[stem])
+        out[at] = flat[taken]
+        out[(first[is_plain] + size[stem])[mark > 0]] = mark[mark > 0]
+        taken, at = _ranges(np.cumsum(odd_size) - odd_size, first[~is_plain], odd_size)
+        out[at] = odd_flat[taken]
+        return out, count
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin; null is empty."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = lists.flatten().dictionary_encode()
+        word = words.indices.to_numpy(zero_copy_only=False)
+        flat, size = self._words(words.dictionary, np.bincount(word, minlength=len(words.dictionary)))
+        count = size[word]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        taken, _ = _ranges((np.cumsum(size) - size)[word], ends[:-1], count)
+        offsets = lists.offsets.to_numpy(zero_copy_only=False)
+        return flat[taken], ends[offsets - offsets[0]]
+
+
+def _ranges(start: np.ndarray, to: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs of ``count`` that begin at ``start``, and the places from ``to`` on that they go to."""
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(start, count) + step, np.repeat(to, count) + step
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -131,25 +131,52 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+_WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
+
+def _runs(text: bytes, limit: int) -> list[bytes]:
+    """The text cut at white space into runs of about ``limit`` bytes; a word that is longer stays whole."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        m = _WHITE.search(text, at + limit)
+        end = m.start() if m else len(text)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]] if at < len(text) or not out else out
+
+
 def token_pieces(docs: DataFrame, path: str, length: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of a document's ids: doc_id, piece, start, length, ids_crc32.  No shuffle; ids stay where they are."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    tail = end.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            texts = [text_ or b"" for text_ in batch.column(1).cast(pa.binary()).to_pylist()]
-            for key_, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts), strict=True):
-                ids += tail
-                for n, lo in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[lo : lo + 4 * length]
-                    for column, value in zip(out, (key_, n, lo // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pieces, schema)
+        for batch, lo, hi in ((b, *part) for b in batches for part in textvec.slices(b.column(1), GROUP_BYTES)):
+            texts, keys = batch.column(1).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo)
+            if hi - lo == 1 and len(whole := texts.cast(pa.binary())[0].as_py() or b"") > GROUP_BYTES:
+                texts = pa.array(_runs(whole, GROUP_BYTES), pa.binary())
+                parts = [words.encode(texts.slice(k, 1).cast(pa.string()))[0] for k in range(len(texts))]
+                ids = np.concatenate(parts)
+                starts = np.array([0, len(ids)])
+            else:
+                ids, starts = words.encode(texts)
+            yield _cut(keys, ids, starts)
+
+    def _cut(keys: pa.Array, ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        n = len(keys)
+        ids = np.insert(ids, starts[1:], end).astype("<u4")  # each document's end id
+        starts = starts + np.arange(n + 1)
+        count = -(-np.diff(starts) // length)
+        of = np.repeat(np.arange(n), count)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        first = starts[of] + piece * length
+        last = np.minimum(first + length, starts[of + 1])
+        data = memoryview(ids).cast("B")
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        columns = [keys.take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(last - first), pa.array(crc, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return arrow_map(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), pieces, schema)
 
 
 class OpenBins:
@@ -218,7 +245,7 @@ def pack(pieces: DataFrame, tasks: int, length: int = 2048, open_bins: int = OPE
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + places[:, 0]), pa.array(places[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"])
 
     dealt = pieces.withColumn("dealt", F.xxhash64("doc_id", "piece", "ids_crc32"))
-    return dealt.repartition(tasks, "dealt").sortWithinPartitions("dealt", "doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(fit, schema)
+    return arrow_map(dealt.repartition(tasks, "dealt").sortWithinPartitions("dealt", "doc_id", "piece", "start", "length", "ids_crc32"), fit, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = 2048, end: int = 0, open_bins: int = OPEN_BINS, docs_per_task: int = DOCS_PER_TASK, key: str = "doc_id", text: str = "text") -> DataFrame:
