@@ -215,6 +215,53 @@ def user_validation(spark, sf_dir):
     return _users(spark, sf_dir).select("id", V.user_error(F.col("name"), mail, password, F.lit(None).cast("string")).alias("error"))
 
 
+@_query(f"""
+WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS name, 'u' || (c_custkey % 100) || '@example.org' AS email, CASE WHEN c_custkey % 7 = 0 THEN 'abc' ELSE 'secret' END AS password,
+             CASE WHEN c_custkey % 13 = 0 THEN 'owner' WHEN c_custkey % 3 = 0 THEN 'editor' END AS role FROM customer),
+e AS (SELECT *, CASE WHEN trim(name) = '' THEN 'Name is required.' WHEN length(password) < 6 THEN 'Password is required and must be at least 6 characters long.' WHEN role NOT IN ('user', 'editor', 'admin') THEN 'Invalid role.' END AS error FROM n),
+f AS (SELECT email, min(id) AS first_id FROM e WHERE error IS NULL GROUP BY email)
+SELECT id, email, coalesce(error, CASE WHEN id % 10 = 0 OR id <> first_id THEN '{catalog.TAKEN}' END) AS error, CASE WHEN error IS NULL AND id % 10 <> 0 AND id = first_id THEN coalesce(role, 'user') END AS role
+FROM e LEFT JOIN f USING (email)""")
+def create_users(spark, sf_dir):
+    """All customers as new users; some addresses are taken, and each comes several times."""
+    key = F.col("id")
+    address = F.concat(F.lit(" U"), (key % 100).cast("string"), F.lit("@Example.org "))
+    role = F.when(key % 13 == 0, "owner").when(key % 3 == 0, "editor")
+    new = _users(spark, sf_dir).select("id", F.when(key % 11 == 0, " ").otherwise(F.col("name")).alias("name"), address.alias("email"), F.when(key % 7 == 0, "abc").otherwise("secret").alias("password"), role.alias("role"), F.lit(None).cast("boolean").alias("is_active"))
+    held = new.where(key % 10 == 0).select(F.lower(T.trim(F.col("email"))).alias("email"))
+    good, bad = catalog.create_users(held, new, F.lit("2024-01-01").cast("timestamp"))
+    return good.select("id", "email", F.lit(None).cast("string").alias("error"), "role").unionByName(bad.select("id", "email", "error", F.lit(None).cast("string").alias("role")))
+
+
+@_query(f"""
+WITH u AS (SELECT c_custkey AS id, c_name AS name, 'u' || c_custkey || '@x.org' AS email FROM customer),
+n AS (SELECT id, CASE id % 4 WHEN 0 THEN 'u' || (id + 1) || '@x.org' WHEN 2 THEN 'new' || (id % 50) || '@x.org' END AS email FROM u),
+f AS (SELECT email, min(id) AS first_id FROM n WHERE email IS NOT NULL GROUP BY email)
+SELECT u.id, CASE WHEN u.id % 4 = 1 THEN 'x' ELSE u.name END AS name,
+       CASE WHEN n.email IS NOT NULL AND f.first_id = u.id AND NOT EXISTS (SELECT 1 FROM u b WHERE b.email = n.email) THEN n.email ELSE u.email END AS email,
+       CASE WHEN u.id % 4 = 3 THEN 'Invalid role.' WHEN n.email IS NOT NULL AND (f.first_id <> u.id OR EXISTS (SELECT 1 FROM u b WHERE b.email = n.email)) THEN '{catalog.TAKEN}' END AS error
+FROM u JOIN n USING (id) LEFT JOIN f ON f.email = n.email""")
+def update_users(spark, sf_dir):
+    """A patch for every user: to an address that is held, to one that several want, to a name, to an unknown role."""
+    key = F.col("id")
+    address = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts], F.lit("@x.org"))
+    users = _users(spark, sf_dir).select("id", "name", address("u", key.cast("string")).alias("email"), F.lit("h").alias("password"), F.lit("user").alias("role"), F.lit(True).alias("is_active"), F.lit(None).cast("timestamp").alias("updated_at"))
+    mail = F.when(key % 4 == 0, address("u", (key + 1).cast("string"))).when(key % 4 == 2, address("NEW", (key % 50).cast("string")))
+    none = F.lit(None)
+    patches = users.select("id", F.when(key % 4 == 1, " x ").alias("name"), mail.alias("email"), none.cast("string").alias("password"), F.when(key % 4 == 3, "boss").alias("role"), none.cast("boolean").alias("is_active"))
+    after, rejected = catalog.update_users(users, patches, F.lit("2024-01-01").cast("timestamp"))
+    return after.select("id", "name", "email").join(rejected, "id", "left")
+
+
+@_query("""SELECT c_custkey AS id, c_custkey % 4 <> 1 AS created, c_custkey % 4 <> 0 AND (c_custkey % 4 <> 1) AND NOT (c_custkey % 4 = 2 AND c_custkey % 3 = 0) AS updated FROM customer""")
+def active_flags(spark, sf_dir):
+    """Values of several types for a flag: on creation only real booleans count, in an update truthiness does."""
+    key = F.col("id")
+    given = F.when(key % 4 == 0, "").when(key % 4 == 1, "false").when(key % 4 == 2, (key % 3).cast("string")).otherwise("false")
+    kind = F.when(key % 4 == 1, "boolean").when(key % 4 == 2, "number").otherwise("string")
+    return _users(spark, sf_dir).select("id", V.active_on_create(given, kind).alias("created"), V.truthy(given, kind).alias("updated"))
+
+
 # content and incremental re-ingest
 
 
@@ -449,6 +496,52 @@ def session_title(spark, sf_dir):
     return sessions.session_view(_messages(spark, sf_dir).withColumn("created_at", F.lit(None).cast("timestamp"))).select("session_id", "title")
 
 
+@_query(f"""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS content, text FROM conversations),
+k AS (SELECT conv_id, max(turn) AS last FROM t WHERE turn < 2 GROUP BY conv_id)
+SELECT conv_id AS session_id, CAST(turn AS INT) AS seq, role, text AS content FROM t WHERE turn < 2
+UNION ALL SELECT conv_id, CAST(coalesce(last, -1) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT), role, content
+FROM t LEFT JOIN k USING (conv_id) WHERE turn >= 2 AND content <> '' AND role IN ('user', 'assistant')""")
+def append_messages(spark, sf_dir):
+    """The first two turns of each conversation, with the others appended."""
+    rows = _messages(spark, sf_dir).withColumn("created_at", F.lit(None).cast("timestamp"))
+    held = rows.where("seq < 2").withColumn("seq", F.col("seq").cast("int"))
+    return sessions.append_messages(held, rows.where("seq >= 2").withColumnRenamed("seq", "order")).drop("created_at")
+
+
+@_query(f"""
+SELECT conv_id AS user_id, conv_id % 3 <> 0 AS is_new, CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id AS VARCHAR) END AS reached,
+       CASE WHEN conv_id % 3 <> 0 THEN coalesce(nullif(regexp_replace(substr(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 1, 40), '^{_SPACE}+|{_SPACE}+$', '', 'g'), ''), 'New chat') END AS title
+FROM conversations WHERE turn = 0""")
+def resolve_sessions(spark, sf_dir):
+    """The first message of each conversation goes to a session of its user, to another user's, or to none."""
+    first = _messages(spark, sf_dir).where("seq = 0").select(F.col("session_id").alias("user_id"), F.col("content").alias("message"))
+    asked = first.withColumn("session_id", F.when(F.col("user_id") % 3 < 2, F.col("user_id").cast("string")))
+    held = first.select(F.col("user_id").cast("string").alias("session_id"), F.when(F.col("user_id") % 3 == 0, F.col("user_id")).otherwise(-1).alias("user_id"))
+    found = sessions.resolve_sessions(asked, held)
+    return found.select("user_id", "is_new", F.when(~F.col("is_new"), F.col("session_id")).alias("reached"), "title")
+
+
+@_query(f"""SELECT conv_id AS session_id, turn AS seq, CASE WHEN turn % 3 = 0 AND text <> '' THEN text WHEN turn % 3 < 2 AND regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') <> '' THEN regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') || '.' ELSE 'I’m here to help.' END AS reply FROM conversations""")
+def reply_texts(spark, sf_dir):
+    """Responses with a text, with parts alone, and without either."""
+    rows, third = _messages(spark, sf_dir), F.col("seq") % 3
+    parts = F.when(third < 2, F.array(F.struct(F.concat(F.lit(" "), "content").alias("text")), F.struct(F.lit(None).cast("string").alias("text")), F.struct(F.when(T.trim(F.col("content")) != "", ".").alias("text"))))
+    return rows.select("session_id", "seq", sessions.reply_text(F.when(third == 0, F.col("content")).otherwise(F.lit("")), parts).alias("reply"))
+
+
+@_query(f"""
+WITH t AS ({_TURNS}), p AS (SELECT conv_id, count(*) AS parent_count FROM t GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS document_id, count(*)::INT AS pages, coalesce(any_value(parent_count), 0)::BIGINT AS parent_count, CASE WHEN any_value(parent_count) IS NULL THEN 'no parents' END AS error, 800 AS child_chunk_size, 120 AS child_chunk_overlap, 2000::BIGINT AS processing_ms
+FROM conversations LEFT JOIN p USING (conv_id) GROUP BY conv_id""")
+def ingest_meta(spark, sf_dir):
+    """What is told of the ingest of conversations as documents."""
+    talks = _talks(spark, sf_dir).withColumn("text", F.lit("x"))
+    parents = sections.logical_parents(talks)
+    counts = chunking.ingest_counts(talks, parents, chunking.child_chunks(parents))
+    return chunking.ingest_meta(counts, F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:00:02").cast("timestamp")).drop("child_count")
+
+
 @_query("SELECT conv_id AS session_id, turn AS seq, role FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')")
 def role_quarantine(spark, sf_dir):
     return V.quarantine(_messages(spark, sf_dir), "role", V.MESSAGE_ROLES).select("session_id", "seq", "role")
