@@ -86,9 +86,9 @@ def chosen_paths(nodes: DataFrame, runs: int) -> DataFrame:
     """(node, size, sketch) to the buckets of two or more sets: node, run, path, blocks.
 
     A run splits all sets on a sampled token, buckets of over LEAF sets on another one, and so on; a path's own hash
-    samples the token that splits it.  A bucket that stays large is compared all the same.  ``blocks`` is by how many a bucket's sets and shingles exceed one task's block.
-    Counts combine before the shuffle and are written before the join, so that a hot path is a plain skewed exchange,
-    which adaptive execution splits.
+    samples the token that splits it.  A bucket that stays large is compared all the same.  ``blocks`` is how many of a
+    task's blocks a bucket's sets and shingles fill.  Counts combine before the shuffle and are written before the join,
+    so that a hot path is a plain skewed exchange, which adaptive execution splits.
     """
 
     def deeper(path: Column) -> Column:

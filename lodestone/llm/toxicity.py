@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textvec
-from lodestone.llm.common import cut
+from lodestone.llm.common import arrow_map, bounded_batches, cut
 
 #: Buckets of hashed features; how many of them the model weighs at most; by how many standard deviations, after a
 #: correction for rare ones, texts of label 1 must have one more often than chance.
@@ -20,9 +21,10 @@ FEATURES = 4096
 LEAST = 3.0
 #: A word's features: itself, and its first characters (bytes), which stand for inflected forms.
 PREFIXES = (4, 5, 6)
-#: The fit takes about so many labelled rows of class 0 and of class 1, of texts up to so many characters.
+#: The fit takes about so many labelled rows of class 0 and of class 1, with their whole texts.
 SAMPLE_ROWS = (9_000, 3_000)
-SAMPLE_CHARS = 20_000
+#: Of labelled sentences without an identity term, about one in so many gets one as a counterfactual pair.
+AUGMENT = 8
 
 #: Terms for groups of people, swapped within a set.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -50,15 +52,15 @@ def _features(words: textvec.Words) -> np.ndarray:
     return np.stack([(f >> np.uint64(64 - BITS)).astype(np.int64) for f in found], 1)
 
 
-def _terms(groups: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each identity term, sorted, and the features of the term that replaces it."""
+def _terms(groups: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each identity term, sorted, the features of the term that replaces it, and its own."""
     terms = [t for g in groups for t in g]
     other = [g[(i + 1) % len(g)] for g in groups for i in range(len(g))]
     if not terms:
-        return np.zeros(0, np.uint64), np.zeros((0, 1 + len(PREFIXES)), np.int64)
+        return np.zeros(0, np.uint64), np.zeros((0, 1 + len(PREFIXES)), np.int64), np.zeros((0, 1 + len(PREFIXES)), np.int64)
     own, swapped = next(textvec.chunks(pa.array(terms))), next(textvec.chunks(pa.array(other)))
     order = np.argsort(own.hashes)
-    return own.hashes[order], _features(swapped)[order]
+    return own.hashes[order], _features(swapped)[order], _features(own)[order]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[DataFrame, dict[int, int]]:
@@ -69,18 +71,21 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[DataFram
     for label, n in counts.items():
         share = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS[label] / n) * (1 << 30))
         take = take | ((F.col("label") == label) & share)
-    texts = docs.where(F.length("text") <= SAMPLE_CHARS)  # the other side has about sum(SAMPLE_ROWS) pairs of numbers
-    return texts.join(F.broadcast(rows.where(take)), "doc_id").select(F.col("label").cast("int").alias("label"), "text"), counts
+    # what is broadcast has about sum(SAMPLE_ROWS) pairs of numbers
+    return docs.join(F.broadcast(rows.where(take)), "doc_id").select(F.col("label").cast("int").alias("label"), "text"), counts
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, identity: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 1.0) -> ToxicityModel:
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1; others and nulls take no part).
 
     ``learn`` is a predicate on doc_id.  Executors count in how many texts of each class a feature occurs; the FEATURES
-    that stand out most for label 1 are kept, and only sentences with kept features come to the driver.  A text scores
-    as its worst sentence, in the fit too: the logistic loss is over texts, and each step moves the sentence that is a
-    text's worst just then.  Each sentence with an identity term also comes with the term swapped, and ``penalty``
-    weighs the squared difference of the two scores.
+    that stand out most for label 1 are kept, as are the words of all identity terms, and only sentences with kept features
+    come to the driver.  A text scores as its worst sentence, in the fit too: the logistic loss is over texts, and each
+    step moves the sentence that is a text's worst just then.
+
+    ``penalty`` weighs the squared differences of scores within counterfactual pairs: each labelled sentence with an
+    identity term and the same with the term swapped for another of its set; one in AUGMENT of the others with a term
+    put in, and with another one of the set; and each term alone and nothing, as a mention by itself is neutral.
 
     Without labels of both classes the model gives the share of label 1, 0.5 without any.
     """
@@ -90,9 +95,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     if len(counts) < 2:
         share = 0.5 if not counts else float(next(iter(counts)))
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log((share + 0.02) / (1.02 - share))))
-    kept = _select(rows, counts)
-    texts, swaps = _examples(rows, kept, identity)
-    weights, bias = _fit(len(kept), texts, counts, every, swaps, penalty)
+    kept = np.union1d(_select(rows, counts), _terms(identity)[2][:, 0])
+    label, starts, sentences, swaps = _examples(rows, kept, identity)
+    weights, bias = _fit(len(kept), label, starts, sentences, counts, every, swaps, penalty)
     table = np.zeros(1 << BITS, np.float32)
     table[kept] = weights
     return ToxicityModel(table, bias)
@@ -113,92 +118,126 @@ def _select(rows: DataFrame, counts: dict[int, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(seen[0][bucket]), pa.array(seen[1][bucket])], names=["bucket", "n0", "n1"])
 
     n0, n1 = counts[0], counts[1]
-    sums = rows.mapInArrow(frequencies, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = arrow_map(rows, frequencies, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     share = (F.col("n0") + F.col("n1")) / F.lit(float(n0 + n1))
     score = (F.col("n1") - share * n1 - 1) / F.sqrt(share * (1 - share) * n1 + 1)
     return np.sort([r["bucket"] for r in sums.where(score >= LEAST).orderBy(score.desc(), "bucket").limit(FEATURES).select("bucket").collect()]).astype(np.int64)
 
 
-def _examples(rows: DataFrame, kept: np.ndarray, identity: Sequence[Sequence[str]]) -> tuple[list[tuple[int, list]], list]:
-    """(label, sentences) of texts with kept features, each sentence its features; (sentence, swapped sentence) pairs."""
+def _examples(rows: DataFrame, kept: np.ndarray, identity: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray, _Sets, tuple[_Sets, _Sets, np.ndarray]]:
+    """Labels of texts with kept features, where their sentences begin, these as sets of features; and counterfactual
+    pairs of sentences with the number of times that each occurs.
+
+    A text's number is that of its batch and place in a stored table, so reruns give it again.
+    """
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int64)
         place[kept] = np.arange(len(kept))
-        terms, swapped = _terms(identity)
+        terms, swapped, mentions = _terms(identity)
+        swapped, mentions = place[swapped], place[mentions]
         for number, batch in enumerate(batches):
             label = batch.column("label").to_numpy()
             out: list[tuple] = []
             for words in textvec.chunks(batch.column("text")):
-                feature = _features(words)
-                own, other = place[feature], None
+                own, other, hashes = place[_features(words)], None, words.hashes
                 if len(terms):
-                    at = np.minimum(np.searchsorted(terms, words.hashes), len(terms) - 1)
-                    hit = terms[at] == words.hashes
-                    other = np.where(hit[:, None], place[swapped[at]], own) if hit.any() else None
+                    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+                    hit = terms[at] == hashes
+                    other = np.where(hit[:, None], swapped[at], own) if hit.any() else None
                 first = np.flatnonzero(np.concatenate([[True], (words.sentence[1:] != words.sentence[:-1]) | (words.text[1:] != words.text[:-1])])) if len(own) else []
                 for lo, hi in zip(first, [*first[1:], len(own)], strict=True):
                     of = int(words.text[lo])
                     mine = np.sort(own[lo:hi][own[lo:hi] >= 0]).astype(np.int32).tobytes()
                     theirs = np.sort(other[lo:hi][other[lo:hi] >= 0]).astype(np.int32).tobytes() if other is not None and hit[lo:hi].any() else None
+                    drawn = int(hashes[lo])
+                    if len(terms) and theirs is None and drawn % AUGMENT == 0:  # the sentence with a term put in, and with another one
+                        term = drawn // AUGMENT % len(terms)
+                        put = [np.sort(np.concatenate([own[lo:hi][own[lo:hi] >= 0], t[term][t[term] >= 0]])).astype(np.int32).tobytes() for t in (mentions, swapped)]
+                        out.append((None, None, *put))
                     if mine or theirs:
                         out.append((int(label[of]), number << 32 | of, mine, theirs))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["label", "text", "own", "other"])
 
-    found = rows.mapInArrow(sentences, "label int, text long, own binary, other binary").withColumn("task", F.spark_partition_id())
-    texts, swaps = {}, []
-    for part in found.distinct().orderBy("task", "text", "own", "other").toArrow().to_batches():
-        for task, text, label, own, other in zip(*(part.column(c).to_pylist() for c in ("task", "text", "label", "own", "other")), strict=True):
-            mine = np.frombuffer(own, np.int32)
-            if other is not None and other != own:
-                swaps.append((mine, np.frombuffer(other, np.int32)))
-            texts.setdefault((task, text), (label, []))[1].append(mine)
-    return list(texts.values()), swaps
-
-
-def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, np.int32)
-
-
-def _fit(size: int, texts: list[tuple[int, list]], counts: dict[int, int], every: dict[int, int], swaps: list, penalty: float, steps: int = 600, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    found = arrow_map(rows, sentences, "label int, text long, own binary, other binary").withColumn("task", F.when(F.col("text").isNotNull(), F.spark_partition_id()))
+    found = found.groupBy("task", "text", "label", "own", "other").agg(F.count(F.lit(1)).alias("times"))
+    table = found.orderBy("task", "text", "label", "own", "other").toArrow()
+    of_texts = table.filter(pc.is_valid(table["label"]))
+    task, text = (of_texts[c].to_numpy() for c in ("task", "text"))
+    starts = np.flatnonzero(np.concatenate([[True], (task[1:] != task[:-1]) | (text[1:] != text[:-1])])) if len(task) else np.zeros(0, np.int64)
+    kind = pa.schema([("own", pa.binary()), ("other", pa.binary()), ("times", pa.int64())])
+    pairs = table.select(kind.names).cast(kind).filter(pc.and_(pc.is_valid(table["other"]), pc.not_equal(table["own"], pc.fill_null(table["other"], b""))))
+    place = np.full(1 << BITS, -1, np.int64)
+    place[kept] = np.arange(len(kept))
+    alone = [np.sort(place[m][place[m] >= 0]).astype(np.int32).tobytes() for m in _terms(identity)[2]]
+    pairs = pa.concat_tables([pairs, pa.table([pa.array(alone, pa.binary()), pa.array([b""] * len(alone), pa.binary()), pa.array([1] * len(alone), pa.int64())], schema=kind)])
+    return of_texts["label"].to_numpy()[starts].astype(float), starts, _sets(of_texts["own"]), (_sets(pairs["own"]), _sets(pairs["other"]), pairs["times"].to_numpy().astype(float))
+
+
+class _Sets:
+    """Sets of features, one after the other; ``sums`` adds up their weights, ``spread`` values by feature."""
+
+    def __init__(self, column: np.ndarray, size: np.ndarray):
+        self.column, self.size = column, size
+        self.filled = np.flatnonzero(size)
+        self.first = np.cumsum(size) - size
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.size))
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(weights[self.column], self.first[self.filled])
+        return out
+
+    def spread(self, value: np.ndarray, features: int) -> np.ndarray:
+        """The sum of each feature's sets' values; sets of value 0 aren't looked at."""
+        own = np.flatnonzero(value)
+        size = self.size[own]
+        place = np.repeat(self.first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.column[place], np.repeat(value[own], size), features)
+
+
+def _sets(column: pa.ChunkedArray) -> _Sets:
+    """Sets that are binary values of 32-bit numbers."""
+    whole = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[: len(whole) + 1] // 4 if len(whole) else np.zeros(1, np.int64)
+    data = whole.buffers()[2]
+    return _Sets(np.frombuffer(data, np.int32)[: offsets[-1]] if data is not None and data.size >= 4 else np.zeros(0, np.int32), np.diff(offsets))
+
+
+def _fit(features: int, label: np.ndarray, starts: np.ndarray, sentences: _Sets, counts: dict[int, int], every: dict[int, int], swaps: tuple[_Sets, _Sets, np.ndarray], penalty: float, steps: int = 600, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression over texts by Adam; texts without kept features count through the bias.
 
-    Each sampled text stands for as many labelled ones as its class has for each sampled one.
+    A text's sentences begin at ``starts``.  Each sampled text stands for as many labelled ones as its class has for
+    each sampled one.
     """
-    label = np.array([y for y, _ in texts], float)
-    row, column = _flat([s for _, t in texts for s in t])
-    starts = np.cumsum([0, *[len(t) for _, t in texts]])[:-1].astype(np.int64)
-    total = sum(len(t) for _, t in texts)
+    total = len(sentences.size)
     bare = {y: counts[y] - int((label == y).sum()) for y in (0, 1)}
     n = every[0] + every[1]
     stands = {y: every[y] / counts[y] / n for y in (0, 1)}
     weight = np.where(label == 1, stands[1], stands[0])
-    a_row, a_column = _flat([s for s, _ in swaps])
-    b_row, b_column = _flat([s for _, s in swaps])
+    own, other, times = swaps
+    times = times / max(1, times.sum())
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    logit = lambda row, column, n: np.bincount(row, weights[column], minlength=n) + bias
-    weights, bias = np.zeros(size), float(np.log((every[1] + 1) / (every[0] + 1)))
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    weights, bias = np.zeros(features), float(np.log((every[1] + 1) / (every[0] + 1)))
+    m, v = np.zeros(features + 1), np.zeros(features + 1)
     for k in range(1, steps + 1):
         gradient = np.append(l2 * weights, bare[0] * stands[0] * sigmoid(bias) + bare[1] * stands[1] * (sigmoid(bias) - 1))
         if total:
-            score = logit(row, column, total)
+            score = sentences.sums(weights) + bias
             worst = np.maximum.reduceat(score, starts)
-            first = np.full(total, -1)
             at = np.flatnonzero(score == np.repeat(worst, np.diff(np.append(starts, total))))
             owner = np.searchsorted(starts, at, "right") - 1
-            first[at[::-1]] = owner[::-1]
-            tied = np.bincount(owner, minlength=len(texts))
             wrong = weight * (sigmoid(worst) - label)
-            share = np.where(first >= 0, (wrong / tied)[first], 0.0)
-            gradient[:-1] += np.bincount(column, share[row], minlength=size)
+            share = np.zeros(total)
+            share[at] = (wrong / np.bincount(owner, minlength=len(starts)))[owner]  # ties share their text's step
+            gradient[:-1] += sentences.spread(share, features)
             gradient[-1] += wrong.sum()
-        if swaps:
-            a, b = sigmoid(logit(a_row, a_column, len(swaps))), sigmoid(logit(b_row, b_column, len(swaps)))
-            for row_, column_, s, sign in ((a_row, a_column, a, 1), (b_row, b_column, b, -1)):
-                slope = sign * 2 * penalty * (a - b) * s * (1 - s) / len(swaps)
-                gradient[:-1] += np.bincount(column_, slope[row_], minlength=size)
+        if len(times) and penalty:
+            a, b = sigmoid(own.sums(weights) + bias), sigmoid(other.sums(weights) + bias)
+            for sets, s, sign in ((own, a, 1), (other, b, -1)):
+                slope = sign * 2 * penalty * (a - b) * s * (1 - s) * times
+                gradient[:-1] += sets.spread(slope, features)
                 gradient[-1] += slope.sum()
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
@@ -231,18 +270,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
             score = 1 / (1 + np.exp(-np.clip(_logits(batch.column("text"), weights, bias), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, f"doc_id {docs.schema[key].dataType.simpleString()}, score double, predicted int")
+    return arrow_map(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), work, f"doc_id {docs.schema[key].dataType.simpleString()}, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose whole text scores under 0.5, with all their columns; one pass, no shuffle."""
+    """The rows whose whole text scores under 0.5, with all their columns; one pass, no shuffle.
+
+    Only texts go to Python, and only scores come back.
+    """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-        for batch in batches:
-            for lo, hi in textvec.slices(batch.column(text)):
-                part = batch.slice(lo, hi - lo)
-                yield part.filter(pa.array(_logits(part.column(text), weights, bias) < 0))
+    @F.arrow_udf("double")
+    def logit(texts: pa.Array) -> pa.Array:
+        return pa.array(_logits(texts, *shared.value))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(logit(docs[text].cast("string")) < 0)
