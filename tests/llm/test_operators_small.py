@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def mixed_by_hand(rows, weights=(5, 2, 1)):
     return size, target
 
 
-def test_mixing_meets_targets(spark):
+def test_mixing_meets_targets(spark, monkeypatch):
     rows = [(n, words(n, n % 7), None, [None, "b", "a", "b", "é", "b"][n % 6]) for n in range(600)]
     out = mixing.mix_sources(docs(spark, rows)).collect()
     size, target = mixed_by_hand(rows)
@@ -89,6 +90,8 @@ def test_mixing_meets_targets(spark):
     assert all(r["taken"] <= 2 * r["size"] for r in out)
     again = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs(spark, rows[::-1]).repartition(3)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in out}
+    monkeypatch.setattr(mixing, "ONE_TASK", 1)
+    assert again == {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs(spark, rows)).collect()}
     copies = mixing.mixed_documents(docs(spark, rows)).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in copies} == {r["doc_id"]: r["copies"] for r in out if r["copies"]}
 
@@ -137,8 +140,8 @@ def near_rows():
 @pytest.mark.parametrize("leaf", [64, 4])
 def test_links_and_classes_by_brute_force(spark, monkeypatch, leaf):
     monkeypatch.setattr(neardup, "LEAF", leaf)
-    monkeypatch.setattr(neardup, "SET_BLOCK", 30 if leaf == 4 else 1024)
-    monkeypatch.setattr(neardup, "SKETCH_BLOCK", 20 if leaf == 4 else 512)
+    monkeypatch.setattr(neardup, "BLOCK", 20 if leaf == 4 else 512)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 3000 if leaf == 4 else 1 << 20)
     rows = near_rows()
     out = {r["doc_id"]: r for r in neardup.jaccard_classes(docs(spark, rows)).collect()}
     norm = {n: " ".join(re.findall(r"[^\W_]+", (t or "").lower())) for n, t in rows}
@@ -170,20 +173,42 @@ def test_links_and_classes_by_brute_force(spark, monkeypatch, leaf):
     assert kept == {find(n) for n, _ in rows}
 
 
-def test_similar_and_shingles():
-    import pyarrow as pa
-
+def test_similar_and_shingles(monkeypatch):
     of, shingle = textvec.shingles(*textvec.word_hashes(pa.array(["a b c d e f", "A, b; c d e", "x", None, "", "x"])), 5)
     assert of.tolist() == [0, 0, 1, 2, 5] and shingle[0] == shingle[2] and shingle[3] == shingle[4]
-    sets = [np.unique(np.random.default_rng(k).integers(0, 40, 30).astype(np.uint64)) for k in range(30)]
-    brute = [[len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.5 for b in sets] for a in sets]
-    assert neardup.similar(sets, 0.5).tolist() == brute
+    spread = textvec.mix(np.arange(40, dtype=np.uint64))
+    sets = [np.unique(spread[np.random.default_rng(k).integers(0, 40, 30)]) for k in range(30)]
+    brute = {(a, b) for a in range(30) for b in range(a + 1, 30) if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.5}
+    for few in (0, 1):
+        monkeypatch.setattr(neardup, "FEW", few)
+        left, right = neardup.linked_pairs(sets, np.triu(np.ones((30, 30), bool), 1), 0.5)
+        assert set(zip(left.tolist(), right.tolist(), strict=True)) == brute and len(left) == len(brute) > 20
+    big = [np.unique(textvec.mix(np.arange(k * 1000, k * 1000 + 150_000, dtype=np.uint64))) for k in range(4)]
+    assert all(neardup.common_counts(big)[a, b] == 150_000 - 1000 * (b - a) for a in range(4) for b in range(a + 1, 4))
+
+
+def test_runs_meet_the_recall_or_fail():
+    assert [neardup.run_count(t, 0.999) for t in (0.8, 0.9, 1.0)] == [10, 6, 1]
+    with pytest.raises(ValueError):
+        neardup.run_count(0.5, 0.999)
+
+
+def test_rows_that_share_keys_or_lack_them(spark):
+    one, two = words(1, 60), words(2, 60)
+    near = one + " more"
+    rows = [(5, one), (5, two), (3, near), (None, two.upper()), (None, words(3, 30)), (None, words(3, 30)), (7, near), (7, near), (9, ""), (9, "")]
+    got = neardup.jaccard_classes(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["copies"], r["n_links"]) for r in got) == sorted([(False, 5, 1, 1), (False, 5, 2, 0), (False, 3, 3, 1), (True, 0, 2, 0), (True, 0, 2, 0), (True, 0, 2, 0), (False, 7, 3, 1), (False, 7, 3, 1), (False, 9, 1, 0), (False, 9, 1, 0)])
+    assert {r["class_id"] for r in got if r["n_links"]} == {3}
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in neardup.drop_near_copies(docs(spark, rows)).collect())
+    assert kept == sorted([(False, 3, near), (True, 0, words(3, 30)), (False, 9, ""), (False, 9, ""), *([(False, 5, two)] if (False, 5, two) in kept else [(True, 0, two.upper())])])
+    rows = [(5, "only here"), (5, "shared"), (3, "shared"), (None, "shared "), (None, "x"), (None, "x"), (1, None), (2, "")]
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in dedup.drop_exact_copies(docs(spark, rows)).collect())
+    assert kept == sorted([(False, 1, None), (False, 5, "only here"), (True, 0, "shared "), (True, 0, "x")], key=lambda r: r[:2])
 
 
 @pytest.mark.parametrize("chunk", [7, 50, 1 << 20])
 def test_word_hashes_do_not_depend_on_runs(monkeypatch, chunk):
-    import pyarrow as pa
-
     texts = ["Ünï códe words, here", None, "", "one two  three", "zz" * 3, "é"] * 3
     whole = textvec.word_hashes(pa.array(texts))
     monkeypatch.setattr(textvec, "CHUNK", max(chunk, 24))
@@ -301,6 +326,9 @@ def test_licences(spark):
     got = {r["doc_id"]: r for r in licenses.scan_licences(docs(spark, rows)).collect()}
     assert [got[n]["license_id"] for n in range(1, 9)] == ["MIT", "MIT", None, None, None, None, None, "BSD-3-Clause"]
     assert [x.split(" ")[0] for x in got[4]["notices"]] == ["MIT"] and got[5]["digest"] == got[6]["digest"] == got[7]["digest"]
+    joined = {r["doc_id"]: r for r in licenses._joined_licences(docs(spark, rows).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw"), licenses.canonical_lines(F.coalesce("text", F.lit(""))).alias("lines")), licenses.known_licences(spark).where(F.col("digest") != F.sha2(F.lit(""), 256))).collect()}
+    assert joined == got
+    assert licenses.scan_licences(docs(spark, [(1, "Copyright Jane Doe 2020\nThe MIT License (MIT)\n\n" + LICENCES["MIT (no heading)"])])).first()["license_id"] == "MIT"
     plan = licenses.scan_licences(docs(spark, rows).select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "ArrowEval" not in plan and "MapInArrow" not in plan
 
@@ -339,12 +367,22 @@ def test_toxicity_and_counterfactuals(spark):
 def test_tokens_are_those_of_the_library():
     t = packing.WordTokenizer(TOKENS)
     odd = ["", "I'm don't 'S O'Neil", "<|endoftext|> a<|startoftext|>b", "ΣΑΣ ΟΔΟΣ", "İstanbul", "é é à", "½ ² Ⅷ 123 a1b2", "日本語 한국어 ｆｕｌｌ", "a\x1cb\x85c\xa0d e　f", "!!! ... ., a., (b)", "😀😀 x", "ﬁne Straße ẞ", "ab\xadcd​z", "\t\n x \r\n", words(3, 3000)]
-    for text, ids in zip(odd, t.encode_all([o.encode() for o in odd]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == t.inner.encode(text, add_special_tokens=False).ids
+    for k in (1, len(odd)):  # one by one, and all at once
+        for lo in range(0, len(odd), k):
+            ids, starts = t.encode(pa.array(odd[lo : lo + k]))
+            for n, text in enumerate(odd[lo : lo + k]):
+                assert ids[starts[n] : starts[n + 1]].tolist() == t.inner.encode(text, add_special_tokens=False).ids
+    ids, starts = t.encode(pa.array(["x", None, " a b "]).slice(1))
+    assert starts.tolist() == [0, 0, 2] and ids.tolist() == t.inner.encode("a b", add_special_tokens=False).ids
+
+
+def test_long_texts_are_tokenized_in_runs():
+    assert packing._runs(b"ab cd  efg h", 3) == [b"ab cd", b"  efg", b" h"] and packing._runs(b"abcdef", 2) == [b"abcdef"]
 
 
 def test_packing_round_trip(spark, monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 400)
+    monkeypatch.setattr(packing, "GROUP_BYTES", 20_000)
     rows = [(n, words(n, (n * 37) % 900)) for n in range(300)] + [(500, None), (501, ""), (502, words(8, 9000))]
     out = packing.pack_documents(docs(spark, rows), TOKENS, docs_per_task=200).collect()
     t = packing.WordTokenizer(TOKENS)

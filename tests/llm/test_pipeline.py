@@ -30,6 +30,16 @@ def test_query_gives_a_row_for_each_input(spark, name):
     assert {r[0] for r in out.select(key).collect()} == expected
 
 
+def test_pipeline_on_an_empty_table_and_with_more_columns(spark, tmp_path):
+    docs = spark.read.parquet(str(oracle.DATA / "documents.parquet"))
+    for folder, rows in (("empty", docs.limit(0)), ("wide", docs.selectExpr("*", "'x' AS content", "doc_id AS _row", "1 AS `row`", "array('a', NULL) AS sketch", "map('k', 1) AS leads"))):
+        rows.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        spark.read.parquet(str(oracle.DATA / "labels.parquet")).write.parquet(str(tmp_path / folder / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    plain = sorted(map(tuple, corpus_pipeline.run(spark, str(oracle.DATA)).collect()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path / "wide")).collect())) == plain
+
+
 def bare(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
 
