@@ -34,22 +34,6 @@ MOST_KNOWN = 5000
 BETWEEN = r"[^\p{L}\p{N}]+"
 
 
-def _line(text: Column) -> Column:
-    """Lower case, one spelling, words of letters and digits with single spaces; empty for a copyright line.
-
-    Of a line that goes on with a licence or a notice, the copyright statement alone is left out.
-    """
-    lower, marked = F.lower(text), F.lit(False)
-    for mark in COPYRIGHT_MARKS:
-        marked = marked | F.contains(lower, F.lit(mark))
-    rest = F.regexp_replace(lower, COPYRIGHT_CLAUSE, "$1 ")
-    plain = F.when(~marked, lower).when(rest.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(rest)
-    plain = F.trim(F.regexp_replace(plain, BETWEEN, " "))
-    for variant, one in WORDS:
-        plain = F.replace(plain, F.lit(variant), F.lit(one))
-    return F.when(F.endswith(plain, F.lit("license")) | F.endswith(plain, F.lit("t")) | F.endswith(plain, F.lit("c")), F.regexp_replace(plain, HEADING, "$2 license")).otherwise(plain)
-
-
 def _phrases(plain: Column) -> Column:
     for variant, one in PHRASES:
         plain = F.replace(plain, F.lit(variant), F.lit(one))
@@ -57,7 +41,21 @@ def _phrases(plain: Column) -> Column:
 
 
 def canonical_lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), _line)
+    """Lines in lower case and one spelling, words of letters and digits with single spaces; empty for copyright lines.
+
+    Of a line that goes on with a licence or a notice, the copyright statement alone is left out.  What can be done to the
+    whole text is; what is done line by line is one step at a time, as a step that names a line twice computes it twice.
+    """
+    lower, marked = F.lower(text), F.lit(False)
+    for mark in COPYRIGHT_MARKS:
+        marked = marked | F.contains(lower, F.lit(mark))
+    rest = F.transform(F.split(lower, "\n"), lambda line: F.regexp_replace(line, COPYRIGHT_CLAUSE, "$1 "))
+    rest = F.transform(rest, lambda line: F.when(line.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(line))
+    plain = F.regexp_replace(F.when(marked, F.array_join(rest, "\n")).otherwise(lower), r"[^\p{L}\p{N}\n]+", " ")
+    for variant, one in WORDS:
+        plain = F.replace(plain, F.lit(variant), F.lit(one))
+    lines = F.transform(F.split(plain, "\n"), lambda line: F.trim(line))
+    return F.transform(lines, lambda line: F.when(F.length(line) < 40, F.regexp_replace(line, HEADING, "$2 license")).otherwise(line))
 
 
 def canonical(lines: Column) -> Column:
