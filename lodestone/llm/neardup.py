@@ -26,6 +26,8 @@ ALIKE = 0.5
 #: Sets, and 8-byte shingles, of one side of a comparison task.
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
+#: Bytes of texts that are hashed together; their shingles take a few times 8 bytes for each word.
+PASS_BYTES = 1 << 20
 #: Share of equal sampled tokens below the threshold at which two sets are no candidates (over 4 standard deviations).
 SLACK = 0.22
 #: Where a task compares fewer pairs than this share of all, it does so one by one, else by matrix products.
@@ -51,7 +53,7 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
     schema = "doc_id long, text_key long, w1 long, w2 long, size int, sketch array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in textvec.slices(whole.column("text"))):
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in textvec.slices(whole.column("text"), PASS_BYTES)):
             of, word = textvec.word_hashes(batch.column("text"))
             n = batch.num_rows
             of_shingle, shingle = textvec.shingles(of, word, words)
@@ -209,7 +211,7 @@ def verified_links(met: DataFrame, docs: DataFrame, nodes: DataFrame, threshold:
     schema = "node long, links long, star long"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in textvec.slices(whole.column("text"))):
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in textvec.slices(whole.column("text"), PASS_BYTES)):
             of, shingle = textvec.shingles(*textvec.word_hashes(batch.column("text")), words)
             edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
             packed = [np.unique(shingle[lo:hi]).tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)]

@@ -27,7 +27,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = max(n, min(1 << (n - 1).bit_length(), CHUNK + 1))  # a run has CHUNK bytes at most
         _powers = tuple(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE))
     return _powers[0][:n], _powers[1][:n]
 
@@ -103,9 +103,12 @@ def _chunks(column: pa.Array, lower: bool) -> Iterator[Words]:
         start = np.flatnonzero(inside & (~before | new[:-1]))
         end = np.flatnonzero(inside & (~after | new[1:])) + 1
         power, inverse = _power_tables(len(part) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+        sums = np.zeros(len(part) + 1, np.uint64)  # in place: eight bytes for each of the run's are held once
+        np.add(part, np.uint64(1), out=sums[1:])
+        sums[1:] *= power[:-1]
+        np.cumsum(sums[1:], out=sums[1:])
         ends = END_BYTES[part] | new[:-1]
-        yield Words(np.searchsorted(offsets, start + at, "right") - 1, start, end, np.cumsum(ends)[start], sums, inverse)
+        yield Words(np.searchsorted(offsets, start + at, "right") - 1, start, end, np.cumsum(ends, dtype=np.int32)[start], sums, inverse)
         at = stop
 
 
